@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, oracles
+from millrace.llm import chat_format, decontaminate, oracles, quality_rules, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    outcomes = url_reputation.labelled_outcomes(pages, _table(spark, sf_dir, "labels"))
+    return url_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(docs, rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat_format.format_chats(chat_format.with_probe(_table(spark, sf_dir, "conversations")))
+    return chat_format.digests(chats)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -25,7 +43,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_url_filter": op4_url_filter,
         "op5_decontamination": op5_decontamination,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_chat_format": op10_chat_format,
     }
 
 

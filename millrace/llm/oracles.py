@@ -18,4 +18,32 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op4_url_filter": r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rule, rhost, rpath, act) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+                               ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(act, length(rule)) AS act
+        FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+mark AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+outc AS (SELECT host, bad FROM p JOIN mark ON TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html|/)?$', 1), '') AS BIGINT) = doc_id WHERE host <> ''),
+cnt0 AS (SELECT host, count(*) AS n, sum(bad) AS k, string_split(host, '.') AS pt FROM outc GROUP BY host),
+nm AS (SELECT DISTINCT host, string_split(host, '.') AS pt FROM p WHERE host <> ''),
+nm2 AS (SELECT host, pt, CASE WHEN len(pt) > 2 AND length(pt[-1]) = 2 AND pt[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN pt[-2] || '.' || pt[-1] ELSE pt[-1] END AS suffix FROM nm),
+nm3 AS (SELECT host, suffix, array_to_string(pt[greatest(1, len(pt) - len(string_split(suffix, '.'))) : len(pt)], '.') AS domain FROM nm2),
+cnt AS (SELECT host, domain, suffix, n, k FROM cnt0 JOIN nm3 USING (host)),
+w AS (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) AS p FROM cnt),
+s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(p) AS p FROM cnt, w GROUP BY suffix),
+ms AS (SELECT (sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0) AS rho FROM s1),
+s2 AS (SELECT suffix, k + m * p AS a, n - k + m * (1 - p) AS b FROM s1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM ms)),
+d1 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(a / (a + b)) AS p FROM cnt JOIN s2 USING (suffix) GROUP BY domain, suffix),
+md AS (SELECT (sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0) AS rho FROM d1),
+d2 AS (SELECT domain, k + m * p AS a, n - k + m * (1 - p) AS b FROM d1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM md)),
+h1 AS (SELECT host, n, k, a / (a + b) AS p FROM cnt JOIN d2 USING (domain)),
+mh AS (SELECT (sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0) AS rho FROM h1),
+h2 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM mh)),
+ab AS (SELECT host, coalesce(h2.a, d2.a, s2.a) AS a, coalesce(h2.b, d2.b, s2.b) AS b FROM nm3 LEFT JOIN h2 USING (host) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix)),
+post AS (SELECT host, greatest(0.0, a / (a + b) - 1.6449 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS bound FROM ab)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.act, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id) LEFT JOIN post ON p.host = post.host""",
 }
