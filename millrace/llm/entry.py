@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, oracles, pii, quality_rules, url_reputation
+from millrace.llm import chat_format, decontaminate, oracles, pii, quality_ordinal, quality_rules, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_ordinal.fit(docs, quality_ordinal.graded(_table(spark, sf_dir, "labels")), n_grades=3)
+    return quality_ordinal.classify(docs, model)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     outcomes = url_reputation.labelled_outcomes(pages, _table(spark, sf_dir, "labels"))
@@ -47,6 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op4_url_filter": op4_url_filter,
         "op5_decontamination": op5_decontamination,
         "op7_pii": op7_pii,
