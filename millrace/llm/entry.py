@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, oracles, pii, quality_ordinal, quality_rules, toxicity, url_reputation
+from millrace.llm import chat_format, decontaminate, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_decontamination": op5_decontamination,
+        "op6_packing": op6_packing,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op10_chat_format": op10_chat_format,
