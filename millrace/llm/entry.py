@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
+from millrace.llm import chat_format, decontaminate, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ordinal.classify(docs, model)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.report(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -63,6 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_ngram_join": op2_ngram_join,
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_decontamination": op5_decontamination,

@@ -46,4 +46,15 @@ ab AS (SELECT host, coalesce(h2.a, d2.a, s2.a) AS a, coalesce(h2.b, d2.b, s2.b)
 post AS (SELECT host, greatest(0.0, a / (a + b) - 1.6449 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS bound FROM ab)
 SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.act, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id) LEFT JOIN post ON p.host = post.host""",
+    "op2_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+         SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                                    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS s FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
