@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
+from millrace.llm import chat_format, decontaminate, html_wrapper, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat_format.format_chats(chat_format.with_probe(_table(spark, sf_dir, "conversations")))
     return chat_format.digests(chats)
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
+        "op9_html_extraction": op9_html_extraction,
         "op10_chat_format": op10_chat_format,
     }
 
