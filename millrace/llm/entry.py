@@ -80,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_chat_format": op10_chat_format,
+        "pipeline": pipeline,
     }
 
 
