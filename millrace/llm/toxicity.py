@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import broadcast_if_small, stored
+
 STEM = 5
 #: Weights of the priors: of a stem's rates on a word, of the vocabulary's on a stem.
 WORD_PRIOR, STEM_PRIOR = 2.0, 4.0
@@ -132,23 +134,27 @@ def solve_lambda(rates: list[tuple[float, float]], loss: float) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled documents whose crc32(doc_id as text) mod 3 is not 1; a text of both labels is toxic."""
+    """(text, toxic) of labelled documents whose crc32(doc_id as text) mod 3 is not 1, each text once; one of both labels is toxic.
+
+    Only ids and labels are moved, unless they are too many to broadcast.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     own = own.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
+    docs = docs.select("doc_id", "text")
+    labelled = docs.join(broadcast_if_small(own, labels.count()), F.col("doc_id") == F.col("__id"))
+    once = stored(labelled.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("doc_id").alias("__id"), F.max("toxic").alias("toxic")), "toxic-train")
+    rows = docs.join(broadcast_if_small(once, once.count()), (F.col("doc_id") == F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("h")))
+    return rows.select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    train = training_rows(docs, labels)
-    # exact copies count once: the smallest id of each text's digest stands for all
-    once = train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("doc_id").alias("keep"))
-    rows = train.join(once.select(F.col("keep").alias("doc_id")), "doc_id", "left_semi")
+    rows = training_rows(docs, labels)
     sizes = {r["toxic"]: r["c"] for r in rows.groupBy("toxic").agg(F.count("*").alias("c")).collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
         return Model({}, {}, 1.0, 0.0, 0.0)
     each = rows.select("toxic", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    counts = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    counts = stored(each.groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "toxic-counts")
     stems = counts.groupBy(F.substring("w", 1, STEM).alias("stem")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     base_t, base_o = n_toxic / (n_toxic + n_other), n_other / (n_toxic + n_other)
     stems = _odds_columns(stems, n_toxic, n_other, F.lit(STEM_PRIOR * base_t), F.lit(STEM_PRIOR * base_o))
@@ -160,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     found_words = words.where(good & ~F.col("stem_good") & (F.col("k") >= 3)).orderBy(F.desc("z"), "w").limit(MAX_TOKENS).select("w", "odds", "n", "k").collect()
     found_stems = stems.where(good & (F.length("stem") == STEM) & (F.col("k") >= 3)).orderBy(F.desc("z"), "stem").limit(MAX_TOKENS).select("stem", "odds", "n", "k").collect()
     # the scores of non-toxic training texts: how often a token of theirs scores
-    other_tokens = max(1, each.where("toxic = 0").count())
+    other_tokens = max(1, counts.agg(F.sum(F.col("n") - F.col("k"))).collect()[0][0] or 0)
     rates = [(r["odds"], (r["n"] - r["k"] + 0.5 / max(1, len(found_words) + len(found_stems))) / other_tokens) for r in [*found_words, *found_stems]]
     model = Model({r["w"]: r["odds"] for r in found_words}, {r["stem"]: r["odds"] for r in found_stems}, solve_lambda(rates, LOSS))
     return calibrate(rows, model)
