@@ -1,0 +1,3 @@
+"""Queries over the test tables. Importing this package fills the registry in `catalog`."""
+
+from millrace.plans import catalog, text_queries  # noqa: F401
