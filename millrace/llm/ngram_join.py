@@ -33,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, stored
+from millrace.llm.common import broadcast_if_small, discard, stored
 
 COLUMNS = 64
+FINE_COLUMNS = 8192
 GROUP = 48
 KEYS = 4
 #: Frequent tokens that the order knows at most. The rest are ordered by hash; no pair is lost.
@@ -66,9 +67,19 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 
 
 def columns_of(hashes: np.ndarray) -> np.ndarray:
+    """The set's row of the matrix: how many of its tokens fall into each column."""
     return np.bincount((hashes & np.uint64(COLUMNS - 1)).astype(np.int64), minlength=COLUMNS).clip(0, 65535).astype("<u2")
 
 
+def fine_columns_of(hashes: np.ndarray) -> np.ndarray:
+    """The same over more columns for larger sets: about two tokens a column; none for sets that COLUMNS are enough for."""
+    n = len(hashes)
+    if n < 2 * COLUMNS:
+        return np.zeros(0, np.uint8)
+    width = min(FINE_COLUMNS, 1 << (n // 2 - 1).bit_length())
+    return np.bincount(((hashes >> np.uint64(8)) & np.uint64(width - 1)).astype(np.int64), minlength=width).clip(0, 255).astype(np.uint8)
+
+
 def probe_length(n: int, percent: int) -> int:
     """Tokens of the prefix of a set of n: any set that links with it, not larger than it, has one of them early."""
     return n - -(-percent * n // 100) + 1
@@ -97,18 +108,19 @@ def _hot(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row of docs: doc_id, n, c (digest of the set), keys, prefix (int tokens), cols."""
+    """Per row of docs: doc_id, n, c (digest of the set), keys, prefix (int tokens), cols, fine."""
     hot_tok, hot_rank = docs.sparkSession.sparkContext.broadcast(hot[0]), docs.sparkSession.sparkContext.broadcast(hot[1])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ht, hr = hot_tok.value, hot_rank.value
         for part in parts:
-            n, c, keys, prefix, cols = [], [], [], [], []
+            n, c, keys, prefix, cols, fine = [], [], [], [], [], []
             for t in part.column(1):
                 s = shingle_hashes(t.as_py(), k)
                 n.append(len(s))
                 c.append(xxhash.xxh3_128_digest(s.tobytes()))
                 cols.append(columns_of(s).tobytes())
+                fine.append(fine_columns_of(s).tobytes())
                 if not len(s):
                     keys.append([])
                     prefix.append([])
@@ -127,11 +139,11 @@ def _sketches(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
                     chosen = s[:p]
                 prefix.append((chosen >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32())), pa.array(cols, pa.binary())],
-                names=["doc_id", "n", "c", "keys", "prefix", "cols"],
+                [part.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32())), pa.array(cols, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n", "c", "keys", "prefix", "cols", "fine"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, c binary, keys array<long>, prefix array<int>, cols binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, c binary, keys array<long>, prefix array<int>, cols binary, fine binary")
 
 
 def _near(na, nb, a: np.ndarray, b: np.ndarray, percent: int):
@@ -140,40 +152,55 @@ def _near(na, nb, a: np.ndarray, b: np.ndarray, percent: int):
     return (100 + percent) * apart <= (100 - percent) * (np.asarray(na, np.int64) + np.asarray(nb, np.int64))
 
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, ca, na, va, b, cb, nb, vb) to those (a, ca, b, cb) that pass the bound."""
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of |A xor B| by fine columns; a wider row is folded to the width of the other."""
+    if not x or not y:
+        return 0
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    if len(a) != len(b) and (a == 255).any() | (b == 255).any():
+        return 0  # clipped counts cannot be folded
+    while len(a) > len(b):
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.abs(a - b).sum())
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) to those whose rows of the matrix leave it possible that they link."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not part.num_rows:
                 continue
             va, vb = (np.frombuffer(b"".join(part.column(x).to_pylist()), "<u2").reshape(-1, COLUMNS) for x in ("va", "vb"))
-            ok = _near(part.column("na").to_numpy(), part.column("nb").to_numpy(), va, vb, percent)
-            yield pa.RecordBatch.from_arrays([part.column(x).filter(pa.array(ok)) for x in ("a", "ca", "b", "cb")], names=["a", "ca", "b", "cb"])
-
-    return pairs.select("a", "ca", "na", "va", "b", "cb", "nb", "vb").mapInArrow(run, "a long, ca binary, b long, cb binary")
-
-
-def _links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """Of candidate pairs (a, ca, b, cb) those (a, b) whose whole sets link. Written to the shared folder."""
-    pairs = stored(pairs.distinct(), f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("id"), F.col("ca").alias("c")).union(pairs.select("b", "cb")).distinct()
-    rows = pairs.count()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, 2 * rows), F.col("doc_id") == F.col("id")).select("id", "c", "text")
+            na, nb = part.column("na").to_numpy().astype(np.int64), part.column("nb").to_numpy().astype(np.int64)
+            ok = _near(na, nb, va, vb, percent)
+            fa, fb = part.column("fa"), part.column("fb")
+            for i in np.flatnonzero(ok):
+                ok[i] = (100 + percent) * _apart(fa[i].as_py(), fb[i].as_py()) <= (100 - percent) * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays([part.column(x).filter(pa.array(ok)) for x in ("a", "b")], names=["a", "b"])
+
+    left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("cols").alias("va"), F.col("fine").alias("fa"))
+    right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("cols").alias("vb"), F.col("fine").alias("fb"))
+    full = pairs.join(left, "a").join(right, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    return full.mapInArrow(run, "a long, b long")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Of candidate pairs (a, b) those whose whole sets link. Written to the shared folder."""
+    pairs = stored(pairs.where("a <> b").distinct(), f"{name}-pairs")
+    close = stored(_possible(pairs, nodes, percent).distinct(), f"{name}-close")
+    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, 2 * close.count()), F.col("doc_id") == F.col("id")).select("id", "text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, cs, out = part.column(0).to_pylist(), part.column(1).to_pylist(), []
-            for i, c, t in zip(ids, cs, part.column(2), strict=True):
-                raw = shingle_hashes(t.as_py(), k).tobytes()
-                if xxhash.xxh3_128_digest(raw) == c:  # of rows that share an id, the one meant
-                    out.append((i, c, raw))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["id", "c", "s"])
+            raw = [shingle_hashes(t.as_py(), k).tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "c", "s"])
 
     have = stored(some.mapInArrow(sets, "id long, c binary, s binary").dropDuplicates(["id", "c"]), f"{name}-sets")
-    left = have.select(F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
-    right = have.select(F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
-    full = pairs.join(left, ["a", "ca"]).join(right, ["b", "cb"]).select("a", "b", "sa", "sb")
+    full = close.join(have.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -186,7 +213,9 @@ def _links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -
                     b.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return stored(full.mapInArrow(compare, "a long, b long"), f"{name}-links")
+    out = stored(full.mapInArrow(compare, "a long, b long"), f"{name}-links")
+    discard(pairs, close, have)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,62 +234,81 @@ def components(links: DataFrame) -> DataFrame:
         label = done.select("v", F.col("new").alias("comp"))
 
 
-def _starred(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of each node and the smallest id that has an equal minimum."""
-    each = nodes.select("doc_id", "c", "n", "cols", F.explode("keys").alias("key"))
-    first = each.groupBy("key").agg(F.min(F.struct("doc_id", "c", "n", "cols")).alias("f"), F.count("*").alias("k")).where("k > 1")
-    pairs = each.join(first, "key").where(F.col("doc_id") != F.col("f.doc_id"))
-    pairs = pairs.where((100 * F.col("n") >= percent * F.col("f.n")) & (100 * F.col("f.n") >= percent * F.col("n")))
-    named = pairs.select(F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("cols").alias("va"), F.col("f.doc_id").alias("b"), F.col("f.c").alias("cb"), F.col("f.n").alias("nb"), F.col("f.cols").alias("vb"))
-    return _possible(named, percent)
+def _starred(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of each node and the smallest id that has an equal minimum."""
+    each = nodes.select("doc_id", F.explode("keys").alias("key"))
+    first = each.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("k")).where("k > 1").select("key", "b")
+    return each.join(first, "key").select(F.col("doc_id").alias("a"), "b")
+
+
+def _unpack(members: list[dict]) -> tuple[np.ndarray, ...]:
+    v = np.frombuffer(b"".join(m["cols"] for m in members), "<u2").reshape(-1, COLUMNS).astype(np.int32)
+    return *(np.array([m[f] for m in members], np.int64) for f in ("doc_id", "comp", "n", "pos")), v
+
+
+def _open(queries: list[dict], group: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
+    """Candidate pairs of queries and members of a group, if the group's token union lets the query in."""
+    da, ka, na, pa_, va = _unpack(queries)
+    db, kb, nb, pb, vb = (da, ka, na, pa_, va) if same else _unpack(group)
+    most, least, largest, out = vb.max(axis=0), vb.min(axis=0), int(nb.max()), []
+    # the union's bound: no member can be closer to the query than this
+    apart = (np.maximum(va - most, 0) + np.maximum(least - va, 0)).sum(axis=1)
+    for i in np.flatnonzero((100 + percent) * apart <= (100 - percent) * (na + largest)):
+        ok = _near(na[i], nb, va[i], vb, percent) & (kb != ka[i])
+        ok &= (100 * nb >= percent * na[i]) & (100 * na[i] >= percent * nb)
+        # the smaller set has the token in its shorter prefix; equal sizes allow either
+        ok &= np.where(nb < na[i], pb < index_length(nb, percent), True) & np.where(nb > na[i], pa_[i] < index_length(na[i], percent), True)
+        if same:
+            ok &= np.arange(len(db)) > i
+        out += [(int(da[i]), int(db[j])) for j in np.flatnonzero(ok)]
+    return out
+
+
+def _pairs_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    out = list(dict.fromkeys(out))
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
 
 def _grouped(nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, ca, b, cb) of different components, out of the groups under each token that qualify."""
-    own = nodes.join(comps.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    toks = own.select("comp", "doc_id", "c", F.posexplode("prefix").alias("pos", "tok"))
-    multi = toks.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
-    rows = stored(toks.select("tok", "pos", "doc_id", "c").join(multi, "tok").join(own.select("doc_id", "c", "comp", "n", "cols"), ["doc_id", "c"]), "matrix")
-    # sets that link have sizes within the ratio: of one size class or of neighbouring ones
-    rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int"))
-    large = rows.groupBy("tok", "class", "comp").agg(F.count("*").alias("own")).where(F.col("own") > GROUP)
-    rows = rows.join(large, ["tok", "class", "comp"], "left").withColumn("side", F.when(F.col("own").isNull(), F.lit(None).cast("long")).otherwise(F.col("comp")))
-    total = rows.where("side is null").groupBy("tok", "class").agg(F.count("*").alias("mixed"))
-    rows = rows.join(total, ["tok", "class"], "left")
-    chunk = F.pmod(F.xxhash64("doc_id", "c"), F.ceil(F.coalesce("own", "mixed") / F.lit(GROUP)).cast("long"))
-    groups = rows.groupBy("tok", F.struct("class", F.coalesce("side", F.lit(-(2**62))).alias("side"), chunk.alias("chunk")).alias("g")).agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(F.struct("doc_id", "c", "comp", "n", "pos", "cols")).alias("m")
+    """Candidate pairs (a, b) of different components, out of the groups under each token that qualify."""
+    comps = comps.toDF("doc_id", "comp")
+    own = nodes.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    toks = nodes.select("doc_id", F.posexplode("prefix").alias("pos", "tok"))
+    multi = own.select("comp", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("tok", "k")
+    rows = toks.join(multi, "tok").join(own.select("doc_id", "comp", "n", "cols"), "doc_id")
+    rows = stored(rows.select("tok", "k", F.struct("doc_id", "comp", "n", "pos", "cols").alias("m")), "matrix")
+    member = "struct<doc_id:bigint,comp:bigint,n:int,pos:int,cols:binary>"
+
+    def within(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield _pairs_batch([p for ms in part.column(0) for m in (ms.as_py(),) for p in _open(m, m, True, percent)])
+
+    # few rows under a token: they are one group, compared within itself
+    small = rows.where(F.col("k") <= GROUP).groupBy("tok").agg(F.collect_list("m").alias("ms")).select("ms").mapInArrow(within, "a long, b long")
+
+    # many: groups by size class, the large components in groups of their own, all of about GROUP rows; groups of the
+    # same and of neighbouring classes are paired, but for those of one and the same component
+    many = rows.where(F.col("k") > GROUP).withColumn("class", F.floor(F.log(F.col("m.n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int"))
+    many = many.withColumn("comp", F.col("m.comp"))
+    own_rows = many.groupBy("tok", "class", "comp").agg(F.count("*").alias("own"))
+    sized = many.join(own_rows.where(F.col("own") > GROUP), ["tok", "class", "comp"], "left")
+    mixed = own_rows.where(F.col("own") <= GROUP).groupBy("tok", "class").agg(F.sum("own").alias("mixed"))
+    sized = sized.join(mixed, ["tok", "class"], "left")
+    chunk = F.pmod(F.xxhash64("m.doc_id"), F.ceil(F.coalesce("own", "mixed") / F.lit(GROUP)).cast("long"))
+    side = F.when(F.col("own").isNull(), F.lit(-(2**62))).otherwise(F.col("comp"))
+    groups = stored(
+        sized.groupBy("tok", F.struct("class", side.alias("side"), chunk.alias("chunk")).alias("g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list("m").cast(f"array<{member}>").alias("m")), "groups"
     )
-    groups = stored(groups, "groups")
     a = groups.select("tok", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("m").alias("ma"))
     b = groups.select("tok", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("m").alias("mb"))
     one = (F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))
     met = a.join(b, "tok").where((F.col("ga") <= F.col("gb")) & (F.col("gb.class") - F.col("ga.class") <= 1) & ~one)
 
-    def unpack(members) -> tuple[np.ndarray, ...]:
-        v = np.frombuffer(b"".join(m["cols"] for m in members), "<u2").reshape(-1, COLUMNS).astype(np.int32)
-        return *(np.array([m[f] for m in members], np.int64) for f in ("doc_id", "comp", "n", "pos")), v, [m["c"] for m in members]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out: list[tuple] = []
-            for same, ma, mb in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                da, ka, na, pa_, va, ca = unpack(ma.as_py())
-                db, kb, nb, pb, vb, cb = unpack(mb.as_py())
-                most, least, largest = vb.max(axis=0), vb.min(axis=0), int(nb.max())
-                # the union's bound: no member can be closer to the query than this
-                apart = (np.maximum(va - most, 0) + np.maximum(least - va, 0)).sum(axis=1)
-                for i in np.flatnonzero((100 + percent) * apart <= (100 - percent) * (na + largest)):
-                    ok = _near(na[i], nb, va[i], vb, percent) & (kb != ka[i])
-                    ok &= (100 * nb >= percent * na[i]) & (100 * na[i] >= percent * nb)
-                    # the smaller set has the token in its shorter prefix; equal sizes allow either
-                    ok &= np.where(nb < na[i], pb < index_length(nb, percent), True) & np.where(nb > na[i], pa_[i] < index_length(na[i], percent), True)
-                    if same:
-                        ok &= np.arange(len(db)) > i
-                    out += [(int(da[i]), ca[i], int(db[j]), cb[j]) for j in np.flatnonzero(ok)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[x] for o in out], (pa.int64(), pa.binary())[x % 2]) for x in range(4)], names=["a", "ca", "b", "cb"])
-
-    return met.select((F.col("ga") == F.col("gb")).alias("same"), "ma", "mb").mapInArrow(run, "a long, ca binary, b long, cb binary")
+            yield _pairs_batch([p for s, x, y in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True) for p in _open(x.as_py(), y.as_py(), s, percent)])
+
+    return small.union(met.select((F.col("ga") == F.col("gb")).alias("same"), "ma", "mb").mapInArrow(across, "a long, b long"))
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -268,10 +316,11 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     docs = docs.select("doc_id", "text")
     sketch = stored(_sketches(docs, k, percent, _hot(docs, k)), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
-    nodes = stored(full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prefix").alias("prefix"), F.first("cols").alias("cols")), "nodes")
-    star = _links(docs, _starred(nodes, percent), k, percent, "star")
+    once = full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "keys", "prefix", "cols", "fine")])
+    nodes = stored(once, "nodes")
+    star = _links(docs, _starred(nodes), nodes, k, percent, "star")
     comps = components(star)
-    more = _links(docs, _grouped(nodes, comps, percent), k, percent, "group")
+    more = _links(docs, _grouped(nodes, comps, percent), nodes, k, percent, "group")
     # equal sets, and rows that share an id, are links too
     copies = full.select("doc_id", "c").join(nodes.select("c", F.col("doc_id").alias("first")), "c").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     final = components(star.union(more).union(copies))

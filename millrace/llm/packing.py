@@ -19,7 +19,6 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,6 @@ TASK_ROWS = 32_768
 _PLAIN = re.compile(r"[^\x00-ɏ]")
 
 
-@lru_cache(maxsize=4)
 def encoder(tokenizer_path: str, ranks_path: str | None):
     """A function text -> ids by the tokenizer file; the ranks file, if given, is a faster way to the same ids."""
     from tokenizers import Tokenizer

@@ -174,11 +174,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def rate(text: Column, model: Ordinal, spark) -> Column:
     """A struct (expected_grade, tail): the expected grade, and P(grade >= 1)."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
 
     @F.pandas_udf("expected_grade double, tail double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Ordinal(*shared.value)
         for part in parts:
             tails = m.tails(np.array([m.score(t) for t in part], float).reshape(-1))
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail": tails[:, 0]})
