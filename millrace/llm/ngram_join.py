@@ -3,10 +3,10 @@
 Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of word shingles. Every step below is
 exact: it leaves out only pairs that cannot link, or pairs that are known to be in one component already.
 
-1. Each text becomes the set of its shingles' 64-bit hashes, once. Kept of it: size, a digest, four minima under
-   different hash orders, the tokens of its prefix, and its row of the matrix (how many of its tokens fall into each
+1. Each text becomes the set of its shingles' 64-bit hashes, once. Kept of it: size, a digest, keys made of its minima
+   under different hash orders, the tokens of its prefix, and its row of the matrix (how many of its tokens fall into each
    of COLUMNS hashed token columns). Equal sets are one node from here on.
-2. Nodes with an equal minimum form a group. Each is compared with the group's smallest id; what links is contracted.
+2. Nodes with an equal key form a group. Each is compared with a few leaders of its groups; what links is contracted.
 3. Sets that link share a token of their prefixes (the rarest tokens in one global order; frequent tokens come last).
    Under each token that more than one component has, nodes are put into groups of about GROUP nodes of similar size,
    large components into groups of their own. A group's row of the matrix is its token union: the most and fewest
@@ -38,14 +38,18 @@ from millrace.llm.common import broadcast_if_small, discard, stored
 COLUMNS = 64
 FINE_COLUMNS = 8192
 GROUP = 48
-KEYS = 4
+#: A node has BANDS keys of BAND_ROWS minima each; nodes with an equal key are compared with LEADERS of them.
+BANDS, BAND_ROWS, LEADERS = 6, 3, 3
+#: How often leaders are drawn.
+TURNS = 3
 #: Frequent tokens that the order knows at most. The rest are ordered by hash; no pair is lost.
 HOT_TOKENS = 65_536
 SAMPLE = 16
 SAMPLE_LEAST = 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_LAST = np.uint64(0x94D049BB133111EB)
+_ORDERS = np.array([(2 * k + 1) * 0xBF58476D1CE4E5B9 % (1 << 64) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -61,11 +65,19 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     for j in range(width):
         out = (out ^ (out >> np.uint64(31))) * _MIX + h[j : n - width + 1 + j]
     out ^= out >> np.uint64(29)
-    out *= _ODD[1]
+    out *= _LAST
     out ^= out >> np.uint64(32)
     return np.unique(out)
 
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: the minima of the set under the band's hash orders, hashed together."""
+    mixed = hashes[None, :] * _ORDERS[:, None]
+    mixed ^= mixed >> np.uint64(32)
+    least = mixed.min(axis=1).reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+
 def columns_of(hashes: np.ndarray) -> np.ndarray:
     """The set's row of the matrix: how many of its tokens fall into each column."""
     return np.bincount((hashes & np.uint64(COLUMNS - 1)).astype(np.int64), minlength=COLUMNS).clip(0, 65535).astype("<u2")
@@ -125,7 +137,7 @@ def _sketches(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
                     keys.append([])
                     prefix.append([])
                     continue
-                keys.append([int(((s * o) ^ ((s * o) >> np.uint64(32))).min().view(np.int64)) for o in _ODD[:KEYS]])
+                keys.append(band_keys(s))
                 p = probe_length(len(s), percent)
                 if len(ht):
                     at = np.searchsorted(ht, s).clip(0, len(ht) - 1)
@@ -234,11 +246,18 @@ def components(links: DataFrame) -> DataFrame:
         label = done.select("v", F.col("new").alias("comp"))
 
 
-def _starred(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of each node and the smallest id that has an equal minimum."""
+def _starred(nodes: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+    """Candidate pairs (a, b) of each node and LEADERS ids, drawn by hash, of those that have an equal key.
+
+    Several leaders, since copies that have each changed need not be close enough to a single one of them; in later
+    turns others, for nodes that are not in the leader's component by then.
+    """
     each = nodes.select("doc_id", F.explode("keys").alias("key"))
-    first = each.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("k")).where("k > 1").select("key", "b")
-    return each.join(first, "key").select(F.col("doc_id").alias("a"), "b")
+    each = each.withColumn("comp", F.col("doc_id")) if comps is None else each.join(comps.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    drawn = [F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", "key", F.lit(turn * LEADERS + r))) for r in range(LEADERS)]
+    first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.array(*drawn).alias("b")).where("x <> y").select("key", F.array_distinct("b").alias("b"))
+    met = each.join(first, "key").select(F.col("doc_id").alias("a"), "comp", F.explode("b").alias("b"))
+    return met.where(F.col("comp") != F.col("b.comp")).select("a", F.col("b.doc_id").alias("b"))
 
 
 def _unpack(members: list[dict]) -> tuple[np.ndarray, ...]:
@@ -256,6 +275,8 @@ def _open(queries: list[dict], group: list[dict], same: bool, percent: int) -> l
     for i in np.flatnonzero((100 + percent) * apart <= (100 - percent) * (na + largest)):
         ok = _near(na[i], nb, va[i], vb, percent) & (kb != ka[i])
         ok &= (100 * nb >= percent * na[i]) & (100 * na[i] >= percent * nb)
+        # under the first token that two sets share, what stands before it in either is not shared
+        ok &= (100 + percent) * (pa_[i] + pb) <= (100 - percent) * (na[i] + nb)
         # the smaller set has the token in its shorter prefix; equal sizes allow either
         ok &= np.where(nb < na[i], pb < index_length(nb, percent), True) & np.where(nb > na[i], pa_[i] < index_length(na[i], percent), True)
         if same:
@@ -318,8 +339,11 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     full = sketch.where("n > 0 and doc_id is not null")
     once = full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "keys", "prefix", "cols", "fine")])
     nodes = stored(once, "nodes")
-    star = _links(docs, _starred(nodes), nodes, k, percent, "star")
+    star = _links(docs, _starred(nodes, None, 0), nodes, k, percent, "star")
     comps = components(star)
+    for turn in range(1, TURNS):
+        star = star.union(_links(docs, _starred(nodes, comps, turn), nodes, k, percent, "star"))
+        comps = components(star)
     more = _links(docs, _grouped(nodes, comps, percent), nodes, k, percent, "group")
     # equal sets, and rows that share an id, are links too
     copies = full.select("doc_id", "c").join(nodes.select("c", F.col("doc_id").alias("first")), "c").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
