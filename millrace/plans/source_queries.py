@@ -41,9 +41,10 @@ def preference_frames(spark, sf_dir):
 
 @query("stream_exact_dedup", "SELECT DISTINCT sha256(text) AS digest FROM documents")
 def stream_exact_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
-    source = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/documents.parquet*")
-    timed = source.select("text", F.timestamp_seconds(F.lit(0)).alias("ts"))
+    rows = table(spark, sf_dir, "documents").select("text")
+    landed = _fresh(spark, "landing")
+    rows.write.parquet(landed)
+    timed = spark.readStream.schema(rows.schema).parquet(landed).withColumn("ts", F.timestamp_seconds(F.lit(1_000_000)))
     out, state = _fresh(spark, "stream"), _fresh(spark, "stream-state")
     dedup.run_available(dedup.stream_dedup(timed, "ts", "text").select("digest"), out, state)
     return spark.read.parquet(out)
