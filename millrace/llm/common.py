@@ -1,53 +1,23 @@
-"""What the operators of this subpackage share: shared storage, size-checked broadcasts, word columns."""
+"""What the operators of this subpackage share: size-checked broadcasts, column names, word columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import discard, shared_dir, stored  # noqa: F401
+
 #: Rows of (at most a few longs each) up to which a side is broadcast; a larger side is shuffled instead.
 BROADCAST_ROWS = 500_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none, a local session gets a temporary folder and any other its warehouse.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        local = (spark.sparkContext.master or "").startswith("local[") or spark.sparkContext.master == "local"
-        _own_dir[app] = tempfile.mkdtemp(prefix="millrace-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return _own_dir[app]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: its lineage ends there, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._millrace_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of `stored` that nothing reads any more: what was made of them has been stored in turn."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as it takes to differ from every column of df."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, alnum_words, broadcast_if_small
+from millrace.llm.common import BROADCAST_ROWS, alnum_words, broadcast_if_small, unused
 
 WIDTH = 13
 #: Hashes up to which the set is part of the scan expression; a larger set is joined.
@@ -109,20 +109,23 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, unit: str = "documents", width: int = WIDTH, share: int = 20) -> DataFrame:
     """docs without contaminated documents, or (unit="spans") with the hit words cut out of the texts."""
     report = contamination(docs, benchmark, width).where(F.col("n_hit") > 0)
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__text"))
+    i, h, found = unused(docs, "bad_id"), unused(docs, "bad_text"), unused(docs, "spans")
+    if unit == "documents":
+        report = report.where(contaminated(F.col("n_hit"), F.col("n_words"), share))
+    bad = report.select(F.col("k_id").alias(i), F.col("k_text").alias(h), F.col("spans").alias(found))
+    same = docs["doc_id"].eqNullSafe(bad[i]) & F.xxhash64(docs["text"]).eqNullSafe(bad[h])
     if unit == "documents":
-        bad = report.where(contaminated(F.col("n_hit"), F.col("n_words"), share)).select(F.col("k_id").alias("__id"), F.col("k_text").alias("__text"))
         return docs.join(bad, same, "left_anti")
     if unit != "spans":
         raise ValueError("unit is documents or spans")
-    marked = docs.join(report.select(F.col("k_id").alias("__id"), F.col("k_text").alias("__text"), F.col("spans").alias("__spans")), same, "left")
+    marked = docs.join(bad, same, "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gaps = F.split(F.col("text"), word)
     words = F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0))
-    in_span = lambda i: F.exists("__spans", lambda s: (s["p"] <= i) & (i < s["p"] + s["l"]))
+    in_span = lambda i: F.exists(found, lambda s: (s["p"] <= i) & (i < s["p"] + s["l"]))
     pieces = F.transform(words, lambda w, i: F.when(in_span(i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, ""))
-    return marked.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)).drop("__id", "__text", "__spans").select(docs.columns)
+    return marked.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
 
 
 def report_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, discard, stored
+from millrace.llm.common import broadcast_if_small, discard, stored, unused
 
 COLUMNS = 64
 FINE_COLUMNS = 8192
@@ -353,5 +353,6 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
 def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows that repeat a kept doc_id stay."""
-    drop = join_components(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
+    name = unused(docs, "dropped")
+    drop = join_components(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drop, docs["doc_id"] == drop[name], "left_anti")

@@ -35,13 +35,13 @@ cnt AS (SELECT host, domain, suffix, n, k FROM cnt0 JOIN nm3 USING (host)),
 w AS (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) AS p FROM cnt),
 s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(p) AS p FROM cnt, w GROUP BY suffix),
 ms AS (SELECT (sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0) AS rho FROM s1),
-s2 AS (SELECT suffix, k + m * p AS a, n - k + m * (1 - p) AS b FROM s1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM ms)),
+s2 AS (SELECT suffix, k + m * p AS a, n - k + m * (1 - p) AS b FROM s1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(8.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM ms)),
 d1 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(a / (a + b)) AS p FROM cnt JOIN s2 USING (suffix) GROUP BY domain, suffix),
 md AS (SELECT (sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0) AS rho FROM d1),
-d2 AS (SELECT domain, k + m * p AS a, n - k + m * (1 - p) AS b FROM d1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM md)),
+d2 AS (SELECT domain, k + m * p AS a, n - k + m * (1 - p) AS b FROM d1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(8.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM md)),
 h1 AS (SELECT host, n, k, a / (a + b) AS p FROM cnt JOIN d2 USING (domain)),
 mh AS (SELECT (sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(p * (1 - p) * (n - 1)), 0) AS rho FROM h1),
-h2 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM mh)),
+h2 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h1, (SELECT coalesce(CASE WHEN rho <= 0.001 THEN 1000.0 ELSE greatest(8.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m FROM mh)),
 ab AS (SELECT host, coalesce(h2.a, d2.a, s2.a) AS a, coalesce(h2.b, d2.b, s2.b) AS b FROM nm3 LEFT JOIN h2 USING (host) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix)),
 post AS (SELECT host, greatest(0.0, a / (a + b) - 1.6449 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS bound FROM ab)
 SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.act, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict

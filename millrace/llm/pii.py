@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import unused
+
 ROUNDS = 8
 #: The key that the queries use. Real corpora need a secret one.
 DEMO_KEY = "millrace-demo-key"
@@ -189,14 +191,14 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, column: str = "text", count: str | None = None) -> DataFrame:
     """docs with the values in `column` replaced; `count` names a further column for how many were."""
-    text = F.col(column)
+    text, matched, between = F.col(column), unused(docs, "matches"), unused(docs, "gaps")
     may = text.rlike("[0-9@]")  # every shape has a digit or an @
     matches = F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     gaps = F.split(text, ANY, -1)
-    gaps_col = F.col("__gaps")
-    new = F.transform(F.col("__matches"), lambda m, i: F.concat(pseudonym(m, key), F.get(gaps_col, i + 1)))
-    out = docs.withColumn("__matches", matches).withColumn("__gaps", F.when(F.size("__matches") > 0, gaps))
-    replaced = F.when(F.size("__matches") > 0, F.concat(F.get(gaps_col, F.lit(0)), F.array_join(new, ""))).otherwise(text)
+    gaps_col = F.col(between)
+    new = F.transform(F.col(matched), lambda m, i: F.concat(pseudonym(m, key), F.get(gaps_col, i + 1)))
+    out = docs.withColumn(matched, matches).withColumn(between, F.when(F.size(matched) > 0, gaps))
+    replaced = F.when(F.size(matched) > 0, F.concat(F.get(gaps_col, F.lit(0)), F.array_join(new, ""))).otherwise(text)
     if count is not None:
-        out = out.withColumn(count, F.when(F.size("__matches") > 0, F.size("__matches")).otherwise(0).cast("bigint"))
-    return out.withColumn(column, replaced).drop("__matches", "__gaps")
+        out = out.withColumn(count, F.when(F.size(matched) > 0, F.size(matched)).otherwise(0).cast("bigint"))
+    return out.withColumn(column, replaced).drop(matched, between)

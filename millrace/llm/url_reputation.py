@@ -82,7 +82,7 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def _strength(level: DataFrame, mean: str) -> DataFrame:
-    """One row (m): the prior strength of a level by the method of moments, within 1 and 1000.
+    """One row (m): the prior strength of a level by the method of moments, within 8 and 1000.
 
     Of names with n outcomes k bad around a prior mean p: the excess of the weighted squared deviations over
     binomial noise gives the correlation rho, and the strength is 1 / rho - 1.
@@ -95,7 +95,7 @@ def _strength(level: DataFrame, mean: str) -> DataFrame:
         F.sum(noise * (F.col("n") - 1)).alias("room"),
     )
     rho = (F.col("s") - F.col("base")) / F.nullif(F.col("room"), F.lit(0.0))
-    return sums.select(F.coalesce(F.when(rho <= 0.001, F.lit(1000.0)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / rho - 1))), F.lit(1000.0)).alias("m"))
+    return sums.select(F.coalesce(F.when(rho <= 0.001, F.lit(1000.0)).otherwise(F.greatest(F.lit(8.0), F.least(F.lit(1000.0), 1 / rho - 1))), F.lit(1000.0)).alias("m"))
 
 
 def _level(counts: DataFrame, name: str, parent: str | None, above: DataFrame) -> DataFrame:
