@@ -137,3 +137,13 @@ def lora(weight: DataFrame, a: DataFrame, b: DataFrame, alpha: float, rank: int)
     """(i, j, value): W + alpha / rank * (A B), matrices in long form (i, j, value)."""
     ab = a.toDF("i", "r", "x").join(b.toDF("r", "j", "y"), "r").groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) * (alpha / rank)).alias("d"))
     return weight.join(ab, ["i", "j"], "left").select("i", "j", (F.col("value") + F.coalesce("d", F.lit(0.0))).alias("value"))
+
+
+def lora_targets(modules: DataFrame, targets: list[str], name: str = "name") -> DataFrame:
+    """The modules whose name holds one of the targets."""
+    return modules.where(F.exists(F.array(*[F.lit(t) for t in targets]), lambda t: F.contains(F.col(name), t)))
+
+
+def decay_groups(parameters: DataFrame, decay: float) -> DataFrame:
+    """parameters (name, dim) with weight_decay: that of matrices and above, none for vectors."""
+    return parameters.withColumn("weight_decay", F.when(F.col("dim") >= 2, F.lit(decay)).otherwise(F.lit(0.0)))

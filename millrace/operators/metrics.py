@@ -203,3 +203,40 @@ def padded(tokens: Column, width: Column | int, pad: int = 0) -> Column:
 def best(rows: DataFrame, score: str, what: str) -> DataFrame:
     """One row: `what` of the highest score (ties: the smallest), and the score."""
     return rows.agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(what)).alias("w"))).alias("b")).select((-F.col("b.w")).alias(what), F.col("b.s").alias(score))
+
+
+def next_token_logprobs(steps: DataFrame, keep: int, temperature: float = 1.0) -> DataFrame:
+    """(seq, t, logprob): of rows (seq, t, token, logits) the log-probability of the next token, the last `keep` of each sequence."""
+    w = Window.partitionBy("seq").orderBy("t")
+    shifted = steps.select("seq", "t", F.transform("logits", lambda x: x.cast("double") / temperature).alias("l"), F.lead("token").over(w).alias("next"))
+    last = Window.partitionBy("seq").orderBy(F.desc("t"))
+    scored = shifted.where(F.col("next").isNotNull()).withColumn("r", F.row_number().over(last)).where(F.col("r") <= keep)
+    return scored.select("seq", "t", log_softmax_at(F.col("l"), F.col("next")).alias("logprob"))
+
+
+def composite_reward(text: Column, query: Column, tokens: Column, least: int = 32) -> Column:
+    """0.4 coherence + 0.4 relevance + 0.2 engagement, scaled down below a number of tokens."""
+    return (0.4 * X.coherence(text) + 0.4 * X.relevance(text, query) + 0.2 * X.engagement(text)) * F.least(tokens / least, F.lit(1.0))
+
+
+def reference_free_loss(pairs: DataFrame, beta: float = 0.1) -> DataFrame:
+    """One row of (chosen_loss, rejected_loss) pairs: -mean log sigmoid(beta (rejected - chosen)), and how often chosen is better."""
+    x = beta * (F.col("rejected_loss") - F.col("chosen_loss"))
+    ls = F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))
+    return pairs.agg((-F.avg(ls)).alias("loss"), F.avg((F.col("rejected_loss") > F.col("chosen_loss")).cast("double")).alias("preference_accuracy"))
+
+
+def collated(rows: DataFrame, batch: str, tokens: str, pad: str = "<pad>") -> DataFrame:
+    """rows with `tokens` padded to the longest of their batch."""
+    width = F.max(F.size(tokens)).over(Window.partitionBy(batch))
+    return rows.withColumn("width", width).withColumn(tokens, F.concat(F.col(tokens), F.array_repeat(F.lit(pad), F.col("width") - F.size(tokens)))).drop("width")
+
+
+def repeated(rows: DataFrame, n: int) -> DataFrame:
+    """Every row n times in a row, with `copy` from 0."""
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("copy"))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement, by the smallest md5 of key and seed: the same rows in every run."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

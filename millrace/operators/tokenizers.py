@@ -232,3 +232,19 @@ def with_spaces(text: Column) -> Column:
 
 def decode(tokens: Column) -> Column:
     return F.trim(F.replace(F.replace(F.array_join(tokens, ""), F.lit(END), F.lit(" ")), F.lit(SPACE), F.lit(" ")))
+
+
+def strip_accents(text: Column) -> Column:
+    """Lower case, decomposed, without combining marks."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)) for t in part], dtype="object")
+
+    return run(text)
+
+
+def framed(tokens: Column) -> Column:
+    """[CLS] tokens [SEP]"""
+    return F.concat(F.array(F.lit("[CLS]")), tokens, F.array(F.lit("[SEP]")))

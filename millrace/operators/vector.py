@@ -187,3 +187,39 @@ def text_rank(docs: DataFrame, most: int = 8, window: int = 4, rounds: int = 20,
 
     words = F.array_remove(F.split(X.normalise(F.col(text)), r"[^\p{L}\p{N}_]+"), "")
     return docs.select(key, F.explode(run(words)).alias("x")).select(key, "x.term", "x.score")
+
+
+def cluster_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 10) -> DataFrame:
+    """(key, cluster, sentence): of each text the sentence nearest to each cluster's centre; min(5, max(1, n / 3)) clusters."""
+    from millrace.operators.chunk import kmeans, split_sentences
+    from millrace.operators.models import embed
+
+    @F.pandas_udf("array<struct<cluster:int,sentence:string>>")
+    def run(parts: pd.Series) -> pd.Series:
+        out = []
+        for t in parts:
+            ss = [s for s in split_sentences(t or "") if len(s) > shortest]
+            if not ss:
+                out.append([])
+                continue
+            m = np.array([embed(s) for s in ss])
+            own = kmeans(m, min(5, max(1, len(ss) // 3)))
+            got = []
+            for c in sorted(set(own.tolist())):
+                at = np.flatnonzero(own == c)
+                got.append({"cluster": int(c), "sentence": ss[int(at[((m[at] - m[at].mean(0)) ** 2).sum(1).argmin()])]})
+            out.append(got)
+        return pd.Series(out)
+
+    return docs.select(key, F.explode(run(F.col(text))).alias("x")).select(key, "x.cluster", "x.sentence")
+
+
+def keywords(docs: DataFrame, most: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, score): frequent words, ranked words and names of each text, fused by position."""
+    from millrace.operators.models import names
+
+    ordered = lambda df, by: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), "term"))), lambda s: s["term"]).alias("terms"))
+    a = ordered(top_terms(docs, 2 * most, key, text, 5), F.col("rank")).select(key, F.lit(0).alias("set"), "terms")
+    b = ordered(text_rank(docs, 2 * most, key=key, text=text), -F.col("score")).select(key, F.lit(1).alias("set"), "terms")
+    c = docs.select(key, F.lit(2).alias("set"), F.slice(F.transform(names(F.col(text)), F.lower), 1, most).alias("terms"))
+    return fuse(a.union(b).union(c), most, key)
