@@ -240,3 +240,24 @@ def repeated(rows: DataFrame, n: int) -> DataFrame:
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement, by the smallest md5 of key and seed: the same rows in every run."""
     return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def joined_bigram_diversity(texts: DataFrame, order: str, text: str = "text") -> DataFrame:
+    """One row (distinct_1, distinct_2): words and word pairs over all texts end to end, so pairs cross their borders.
+
+    The border pairs come from each text's first and last word; only these are ordered across texts.
+    """
+    ws = texts.select(order, X.words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+    one = ws.select(F.explode("ws").alias("g")).groupBy("g").agg(F.count("*").alias("c")).agg((F.count("*") / F.sum("c")).alias("distinct_1"))
+    inner = ws.select(F.explode(ngrams(F.col("ws"), 2)).alias("g"))
+    last = F.lag(F.element_at("ws", -1)).over(Window.orderBy(order))
+    border = ws.select(F.array(last, F.get("ws", F.lit(0))).alias("g"), last.alias("l")).where(F.col("l").isNotNull()).select("g")
+    two = inner.union(border).groupBy("g").agg(F.count("*").alias("c")).agg((F.count("*") / F.sum("c")).alias("distinct_2"))
+    return one.join(F.broadcast(two), how="full")  # one row each
+
+
+def corpus_report(texts: DataFrame, losses: DataFrame, text: str = "text") -> DataFrame:
+    """One row: perplexity of given losses, distinct ratios of orders 1 to 4 and the share of exact duplicates."""
+    d = diversity(texts, text=text).groupBy().pivot("n", [1, 2, 3, 4]).agg(F.first("distinct_ratio"))
+    d = d.select(*[F.col(str(n)).alias(f"distinct_{n}") for n in range(1, 5)])
+    return perplexity(losses).join(F.broadcast(d), how="full").join(F.broadcast(duplicate_ratio(texts, text)), how="full")

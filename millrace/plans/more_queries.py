@@ -104,3 +104,29 @@ def lora_targets(spark, sf_dir):
 @query("decay_groups", f"SELECT name, CAST(dim AS INTEGER) AS dim, CASE WHEN dim >= 2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS weight_decay FROM (VALUES {_VALUES}) m(name, dim)")
 def decay_groups(spark, sf_dir):
     return K.decay_groups(_modules(spark), 0.1)
+
+
+_W = f"(SELECT conv_id * 1000 + turn AS o, {_words('text')} AS ws FROM conversations)"
+_END = f"(SELECT unnest(ws) AS w, o, generate_subscripts(ws, 1) AS i FROM {_W})"
+
+
+@query(
+    "joined_diversity",
+    f"""SELECT round(count(DISTINCT w) / count(*), 6) AS distinct_1, round(count(DISTINCT CASE WHEN nx IS NOT NULL THEN w || chr(1) || nx END) / count(nx), 6) AS distinct_2
+      FROM (SELECT w, lead(w) OVER (ORDER BY o, i) AS nx FROM {_END})""",
+)
+def joined_diversity(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("o"), "text")
+    return _rounded(M.joined_bigram_diversity(c, "o"))
+
+
+@query(
+    "corpus_report",
+    f"""SELECT * FROM (SELECT round(exp(sum(-logprob * tokens) / sum(tokens)), 6) AS perplexity FROM {_EV}),
+      (SELECT round(max(CASE WHEN n = 1 THEN d END), 6) AS distinct_1, round(max(CASE WHEN n = 2 THEN d END), 6) AS distinct_2, round(max(CASE WHEN n = 3 THEN d END), 6) AS distinct_3, round(max(CASE WHEN n = 4 THEN d END), 6) AS distinct_4
+       FROM (SELECT n, count(DISTINCT g) / count(*) AS d FROM (SELECT n, array_to_string(ws[i : i + n - 1], chr(1)) AS g FROM (SELECT n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM {_W}, range(1, 5) r(n) WHERE len(ws) >= n)) GROUP BY n)),
+      (SELECT round(greatest(0.0, count(*) / count(DISTINCT text) - 1), 6) AS exact_duplicate_ratio FROM conversations)""",
+)
+def corpus_report(spark, sf_dir):
+    losses = _events(spark, sf_dir).withColumn("loss", -F.col("logprob"))
+    return _rounded(M.corpus_report(table(spark, sf_dir, "conversations"), losses))
