@@ -39,7 +39,7 @@ COLUMNS = 64
 FINE_COLUMNS = 8192
 GROUP = 48
 #: A node has BANDS keys of BAND_ROWS minima each; nodes with an equal key are compared with LEADERS of them.
-BANDS, BAND_ROWS, LEADERS = 6, 3, 3
+BANDS, BAND_ROWS, LEADERS = 6, 4, 3
 #: How often leaders are drawn.
 TURNS = 3
 #: Frequent tokens that the order knows at most. The rest are ordered by hash; no pair is lost.
@@ -83,6 +83,12 @@ def columns_of(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(COLUMNS - 1)).astype(np.int64), minlength=COLUMNS).clip(0, 65535).astype("<u2")
 
 
+def parities_of(hashes: np.ndarray) -> list[int]:
+    """256 bits: whether the set has an odd number of tokens in each of 256 columns. Bits that differ bound |A xor B| from below."""
+    odd = np.bincount(((hashes >> np.uint64(16)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def fine_columns_of(hashes: np.ndarray) -> np.ndarray:
     """The same over more columns for larger sets: about two tokens a column; none for sets that COLUMNS are enough for."""
     n = len(hashes)
@@ -120,19 +126,20 @@ def _hot(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row of docs: doc_id, n, c (digest of the set), keys, prefix (int tokens), cols, fine."""
+    """Per row of docs: doc_id, n, c (digest of the set), keys, prefix (int tokens), cols, fine, odd."""
     hot_tok, hot_rank = docs.sparkSession.sparkContext.broadcast(hot[0]), docs.sparkSession.sparkContext.broadcast(hot[1])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ht, hr = hot_tok.value, hot_rank.value
         for part in parts:
-            n, c, keys, prefix, cols, fine = [], [], [], [], [], []
+            n, c, keys, prefix, cols, fine, odd = [], [], [], [], [], [], []
             for t in part.column(1):
                 s = shingle_hashes(t.as_py(), k)
                 n.append(len(s))
                 c.append(xxhash.xxh3_128_digest(s.tobytes()))
                 cols.append(columns_of(s).tobytes())
                 fine.append(fine_columns_of(s).tobytes())
+                odd.append(parities_of(s))
                 if not len(s):
                     keys.append([])
                     prefix.append([])
@@ -151,11 +158,11 @@ def _sketches(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
                     chosen = s[:p]
                 prefix.append((chosen >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32())), pa.array(cols, pa.binary()), pa.array(fine, pa.binary())],
-                names=["doc_id", "n", "c", "keys", "prefix", "cols", "fine"],
+                [part.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32())), pa.array(cols, pa.binary()), pa.array(fine, pa.binary()), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "c", "keys", "prefix", "cols", "fine", "odd"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, c binary, keys array<long>, prefix array<int>, cols binary, fine binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, c binary, keys array<long>, prefix array<int>, cols binary, fine binary, odd array<long>")
 
 
 def _near(na, nb, a: np.ndarray, b: np.ndarray, percent: int):
@@ -246,18 +253,21 @@ def components(links: DataFrame) -> DataFrame:
         label = done.select("v", F.col("new").alias("comp"))
 
 
-def _starred(nodes: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+def _starred(nodes: DataFrame, comps: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of each node and LEADERS ids, drawn by hash, of those that have an equal key.
 
     Several leaders, since copies that have each changed need not be close enough to a single one of them; in later
     turns others, for nodes that are not in the leader's component by then.
     """
-    each = nodes.select("doc_id", F.explode("keys").alias("key"))
+    each = nodes.select("doc_id", "n", "odd", F.explode("keys").alias("key"))
     each = each.withColumn("comp", F.col("doc_id")) if comps is None else each.join(comps.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    drawn = [F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", "key", F.lit(turn * LEADERS + r))) for r in range(LEADERS)]
+    drawn = [F.min_by(F.struct("doc_id", "comp", "n", "odd"), F.xxhash64("doc_id", "key", F.lit(turn * LEADERS + r))) for r in range(LEADERS)]
     first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.array(*drawn).alias("b")).where("x <> y").select("key", F.array_distinct("b").alias("b"))
-    met = each.join(first, "key").select(F.col("doc_id").alias("a"), "comp", F.explode("b").alias("b"))
-    return met.where(F.col("comp") != F.col("b.comp")).select("a", F.col("b.doc_id").alias("b"))
+    met = each.join(first, "key").select(F.col("doc_id").alias("a"), "comp", "n", "odd", F.explode("b").alias("b"))
+    apart = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("b.odd", F.lit(k)))) for k in range(4)), F.lit(0))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("b.n"))
+    sizes = (100 * F.col("n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("n"))
+    return met.where(sizes & close & (F.col("comp") != F.col("b.comp"))).select("a", F.col("b.doc_id").alias("b"))
 
 
 def _unpack(members: list[dict]) -> tuple[np.ndarray, ...]:
@@ -281,7 +291,10 @@ def _open(queries: list[dict], group: list[dict], same: bool, percent: int) -> l
         ok &= np.where(nb < na[i], pb < index_length(nb, percent), True) & np.where(nb > na[i], pa_[i] < index_length(na[i], percent), True)
         if same:
             ok &= np.arange(len(db)) > i
-        out += [(int(da[i]), int(db[j])) for j in np.flatnonzero(ok)]
+        fine = queries[i].get("fine")
+        for j in np.flatnonzero(ok):
+            if not fine or (100 + percent) * _apart(fine, group[j]["fine"]) <= (100 - percent) * (na[i] + nb[j]):
+                out.append((int(da[i]), int(db[j])))
     return out
 
 
@@ -298,7 +311,6 @@ def _grouped(nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     multi = own.select("comp", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("tok", "k")
     rows = toks.join(multi, "tok").join(own.select("doc_id", "comp", "n", "cols"), "doc_id")
     rows = stored(rows.select("tok", "k", F.struct("doc_id", "comp", "n", "pos", "cols").alias("m")), "matrix")
-    member = "struct<doc_id:bigint,comp:bigint,n:int,pos:int,cols:binary>"
 
     def within(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -310,6 +322,9 @@ def _grouped(nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     # many: groups by size class, the large components in groups of their own, all of about GROUP rows; groups of the
     # same and of neighbouring classes are paired, but for those of one and the same component
     many = rows.where(F.col("k") > GROUP).withColumn("class", F.floor(F.log(F.col("m.n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int"))
+    # here the bound on members is taken over the fine columns too: there are few such rows, but many pairs
+    fine = nodes.select(F.col("doc_id").alias("owner"), "fine")
+    many = many.join(fine, F.col("m.doc_id") == F.col("owner")).drop("owner").withColumn("m", F.struct("m.*", "fine")).drop("fine")
     many = many.withColumn("comp", F.col("m.comp"))
     own_rows = many.groupBy("tok", "class", "comp").agg(F.count("*").alias("own"))
     sized = many.join(own_rows.where(F.col("own") > GROUP), ["tok", "class", "comp"], "left")
@@ -318,7 +333,7 @@ def _grouped(nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("m.doc_id"), F.ceil(F.coalesce("own", "mixed") / F.lit(GROUP)).cast("long"))
     side = F.when(F.col("own").isNull(), F.lit(-(2**62))).otherwise(F.col("comp"))
     groups = stored(
-        sized.groupBy("tok", F.struct("class", side.alias("side"), chunk.alias("chunk")).alias("g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list("m").cast(f"array<{member}>").alias("m")), "groups"
+        sized.groupBy("tok", F.struct("class", side.alias("side"), chunk.alias("chunk")).alias("g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list("m").alias("m")), "groups"
     )
     a = groups.select("tok", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("m").alias("ma"))
     b = groups.select("tok", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("m").alias("mb"))
@@ -337,12 +352,12 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     docs = docs.select("doc_id", "text")
     sketch = stored(_sketches(docs, k, percent, _hot(docs, k)), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
-    once = full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "keys", "prefix", "cols", "fine")])
+    once = full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "keys", "prefix", "cols", "fine", "odd")])
     nodes = stored(once, "nodes")
-    star = _links(docs, _starred(nodes, None, 0), nodes, k, percent, "star")
+    star = _links(docs, _starred(nodes, None, 0, percent), nodes, k, percent, "star")
     comps = components(star)
     for turn in range(1, TURNS):
-        star = star.union(_links(docs, _starred(nodes, comps, turn), nodes, k, percent, "star"))
+        star = star.union(_links(docs, _starred(nodes, comps, turn, percent), nodes, k, percent, "star"))
         comps = components(star)
     more = _links(docs, _grouped(nodes, comps, percent), nodes, k, percent, "group")
     # equal sets, and rows that share an id, are links too
