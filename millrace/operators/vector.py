@@ -101,6 +101,52 @@ def probe(index: tuple[np.ndarray, DataFrame], query: list[float], k: int = 5, p
     return rows.where(F.col("cell").isin([int(x) for x in near])).select(key, l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(k)
 
 
+def search(index: tuple[np.ndarray, DataFrame], queries: list[tuple[int, list[float]]], k: int = 5, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, distance, rank): the k nearest rows of each query by L2 within its `probes` nearest cells.
+
+    Batches of queries are sent to the tasks as in `nearest`; a task compares a cell's rows only with the queries that probe it.
+    """
+    parts = [_search_batch(index, queries[a : a + QUERY_BATCH], k, probes, key, vector) for a in range(0, len(queries), QUERY_BATCH)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _search_batch(index: tuple[np.ndarray, DataFrame], queries: list[tuple[int, list[float]]], k: int, probes: int, key: str, vector: str) -> DataFrame:
+    centres, rows = index
+    ids = np.array([q for q, _ in queries], np.int64)
+    m = np.array([v for _, v in queries], float).reshape(len(queries), -1)
+    near = np.argsort((centres**2).sum(1)[None] - 2 * m @ centres.T, axis=1, kind="stable")[:, :probes]
+    asks = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+    sent = rows.sparkSession.sparkContext.broadcast((ids, m, asks))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, m, asks = sent.value
+        kept: pd.DataFrame | None = None
+        for part in parts:
+            got = [] if kept is None else [kept]
+            for c, own in part.groupby("cell"):
+                at = asks.get(int(c))
+                if at is None:
+                    continue
+                x, v = np.stack(own["x"].to_numpy()).astype(float), own["v"].to_numpy()
+                order = np.argsort(v, kind="stable")  # of equal distances the smallest ids
+                x, v = x[order], v[order]
+                for q in at:
+                    d = np.sqrt(((x - m[q]) ** 2).sum(1))
+                    best = np.argsort(d, kind="stable")[:k]
+                    got.append(pd.DataFrame({"query": ids[q], "v": v[best], "distance": d[best]}))
+            if got:
+                kept = pd.concat(got).sort_values(["query", "distance", "v"]).groupby("query").head(k)
+        if kept is not None:
+            yield kept
+
+    found = rows.select("cell", F.col(key).alias("v"), F.col(vector).alias("x")).mapInPandas(run, "query long, v long, distance double")
+    w = Window.partitionBy("query").orderBy("distance", "v")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", F.col("v").alias(key), "distance", "rank")
+
+
 # -- vector table ------------------------------------------------------------------------------------------------------
 
 

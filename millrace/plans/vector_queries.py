@@ -57,10 +57,13 @@ def collection_stats(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
+#: Cells of the inverted file, as in the reference, and how many of them a query looks into.
+CELLS, PROBES = 100, 50
+
+
 @query("ivf_topk")
 def ivf_topk(spark, sf_dir):
-    index = V.inverted_file(table(spark, sf_dir, "embeddings"), 16)
-    return V.probe(index, _queries(spark, sf_dir)[0][1], 5, 16)
+    return V.search(V.inverted_file(table(spark, sf_dir, "embeddings"), CELLS), _queries(spark, sf_dir), 5, PROBES)
 
 
 _SPLIT = rf"regexp_split_to_array(trim(regexp_replace(lower(text), '[{WS}]+', ' ', 'g')), '[^\p{{L}}\p{{N}}_]+')"

@@ -192,6 +192,25 @@ def test_ivf_recall(spark, sf):
     assert hit >= 0.9 * 5 * len(queries)
 
 
+def test_ivf_query_has_every_query_vector(spark, sf):
+    from millrace.plans import catalog, vector_queries
+
+    assert vector_queries.PROBES < vector_queries.CELLS
+    exact, found = ([(r["query"], r["vec_id"], r["rank"]) for r in catalog.queries()[name](spark, sf).collect()] for name in ("l2_topk", "ivf_topk"))
+    assert {q for q, _, _ in found} == {q for q, _, _ in exact} and sorted((q, k) for q, _, k in found) == sorted((q, k) for q, _, k in exact)
+    assert len({(q, v) for q, v, _ in exact} & {(q, v) for q, v, _ in found}) >= 0.9 * len(exact)
+
+
+def test_ivf_batches_give_the_rows_of_single_probes(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id % 100 = 0").collect()]
+    index = V.inverted_file(e, 20)
+    got: dict = {}
+    for r in V.search(index, queries, 5, 4).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["vec_id"])
+    assert got == {q: [r["vec_id"] for r in V.probe(index, v, 5, 4).collect()] for q, v in queries}
+
+
 def test_upsert_and_delete(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda d, x: spark.createDataFrame([(d, 0, x)], "document_id long, chunk_id int, document string")
