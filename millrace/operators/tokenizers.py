@@ -1,20 +1,26 @@
-"""Tokenizers: words, characters, BPE, WordPiece, Unigram. Training counts words once on the cluster; what is learned on
-is the bounded table of the most frequent distinct words, whose size is a parameter."""
+"""Tokenizers: words, characters, BPE, WordPiece, Unigram. Training counts words once on the cluster and learns on all
+distinct words: their table stays distributed, the driver gets counts of pairs, pieces and characters."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log
+from heapq import nsmallest
+from math import exp, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-
-#: Distinct words that the training loops see at most, the most frequent ones.
-MAX_WORDS = 200_000
+from millrace.storage import discard, stored
+
+#: Pair counts that the driver holds after a count of all; rarer pairs are counted anew if their turn can come.
+MAX_PAIRS = 100_000
+#: Merges after which the table of words is written with them applied.
+PENDING = 6
+#: Parts that an expected count is summed in.
+UNIT = 1 << 20
 END = "</w>"
 SPACE = "▁"
 
@@ -50,10 +56,6 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(words_v2(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def bounded_counts(docs: DataFrame, text: str = "text", most: int = MAX_WORDS) -> dict[str, int]:
-    return {r["word"]: r["n"] for r in word_counts(docs, text).orderBy(F.desc("n"), "word").limit(most).collect()}
-
-
 def pair_stats(counts: DataFrame) -> DataFrame:
     """(left, right, n): adjacent symbols of words ending in </w>, weighted by the words' counts."""
     symbols = F.concat(F.filter(F.split("word", ""), lambda c: F.length(c) > 0), F.array(F.lit(END)))
@@ -89,6 +91,84 @@ def train_bpe(counts: dict[str, int], merges: int) -> list[tuple[str, str]]:
     return out
 
 
+def learn_bpe(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """As train_bpe, over a distributed table (word, n) of any size.
+
+    A word is a string of its symbols, each between a space and a line end, which no word has. The driver holds the
+    counts of the most frequent pairs. A round merges the best pairs as long as the next one shares no symbol with those
+    before it and is ahead of all that do (what they become is no more frequent), and collects the change of the counts
+    from the words that have one of them.
+    """
+    symbols = F.concat(F.regexp_replace("word", "(?s)(.)", " $1\n"), F.lit(f" {END}\n"))
+    base = stored(counts.select(symbols.alias("s"), F.col("n").cast("long").alias("n")), "bpe-words")
+    pending: list[tuple[str, str]] = []
+
+    def merged(s: Column, some: list[tuple[str, str]]) -> Column:
+        for x, y in some:
+            s = F.replace(s, F.lit(f" {x}\n {y}\n"), F.lit(f" {x}{y}\n"))
+        return s
+
+    def pairs(s: Column) -> Column:
+        def of(v: Column) -> Column:
+            last = F.size(v) - 1
+            return F.zip_with(F.slice(v, F.lit(1), last), F.slice(v, F.lit(2), last), lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+
+        # the symbols are bound to a variable: as an expression they would be split twice
+        return F.flatten(F.transform(F.array(F.split(F.substr(s, F.lit(2), F.length(s) - 2), "\n ")), of))
+
+    def summed(each: DataFrame) -> DataFrame:
+        return each.select("n", F.explode("ps").alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def count() -> tuple[dict[tuple[str, str], int], int]:
+        """The most frequent pairs, and the count that no other pair exceeds."""
+        rows = summed(base.select("n", pairs(merged(F.col("s"), pending)).alias("ps"))).orderBy(F.desc("n"), "left", "right").limit(MAX_PAIRS).collect()
+        return {(r["left"], r["right"]): r["n"] for r in rows}, rows[-1]["n"] if len(rows) == MAX_PAIRS else 0
+
+    stats, floor = count()
+    out: list[tuple[str, str]] = []
+    while len(out) < merges:
+        order = lambda p: (-stats[p], p)
+        best = nsmallest(64, stats, key=order)
+        if floor and (not best or stats[best[0]] <= floor):
+            stats, floor = count()
+            best = nsmallest(64, stats, key=order)
+        now: list[tuple[str, str]] = []
+        touched: set[str] = set()
+        for k, p in enumerate(best[:-1] if len(stats) > 64 else best):
+            rivals = (q for q in best[k:] if stats[q] == stats[p])
+            if len(out) + len(now) == merges or stats[p] <= 0 or now and (stats[p] <= floor or stats[best[-1]] == stats[p] or any(touched & set(q) for q in rivals)):
+                break
+            now.append(p)
+            touched |= {*p, p[0] + p[1]}
+        if not now:
+            break
+        out += now
+        if len(out) == merges:
+            break
+        words = base.select(merged(F.col("s"), pending).alias("s"), "n")
+        hit = F.lit(False)
+        for x, y in now:
+            hit |= F.contains("s", F.lit(f" {x}\n {y}\n"))
+        sides = F.array(F.struct("s", (-F.col("n")).alias("n")), F.struct(merged(F.col("s"), now).alias("s"), "n"))
+        change = summed(words.where(hit).select(F.explode(sides).alias("w")).select("w.n", pairs(F.col("w.s")).alias("ps")))
+        known = {x + y for x, y in out}
+        for r in change.collect():
+            p = (r["left"], r["right"])
+            if p in stats or not floor or p[0] in known or p[1] in known:
+                stats[p] = stats.get(p, 0) + r["n"]
+                if stats[p] <= 0:
+                    del stats[p]
+        pending += now
+        if len(pending) >= PENDING:
+            old, base = base, stored(base.select(merged(F.col("s"), pending).alias("s"), "n"), "bpe-words")
+            discard(old)
+            pending = []
+        if floor and any(x + y == END or len(x + y) == 1 for x, y in now):
+            stats, floor = count()
+    discard(base)
+    return out
+
+
 def merge(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     """All occurrences of a pair that do not overlap, from the left."""
     out, k = [], 0
@@ -133,6 +213,25 @@ def wordpieces(counts: dict[str, int], size: int = 10_000) -> set[str]:
     return vocab
 
 
+def learn_wordpieces(counts: DataFrame, size: int = 10_000) -> set[str]:
+    """As wordpieces, over a distributed table (word, n) of any size."""
+    long = F.length("word") > 1
+    own = F.array(F.substring("word", 1, 1))
+    rest = F.when(long, F.transform(F.filter(F.split(F.substr("word", F.lit(2)), ""), lambda c: F.length(c) > 0), lambda c: F.concat(F.lit("##"), c))).otherwise(F.array().cast("array<string>"))
+    chars = {r["c"] for r in counts.select(F.explode(F.concat(own, rest)).alias("c")).distinct().collect()}
+    cuts = F.sequence(F.lit(2), F.least(F.length("word"), F.lit(20)))
+    heads = F.transform(cuts, lambda k: F.substr("word", F.lit(1), k))
+    tails = F.transform(F.filter(cuts, lambda k: k < F.length("word")), lambda k: F.concat(F.lit("##"), F.substr("word", k + 1)))
+    cand = counts.where(long).select("n", F.explode(F.concat(heads, tails)).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+    # pieces that are characters too add nothing: no more than size + their number can be looked at
+    vocab = set(chars)
+    for r in cand.orderBy(F.desc("n"), "piece").limit(size + len(chars)).collect():
+        if len(vocab) >= size:
+            break
+        vocab.add(r["piece"])
+    return vocab
+
+
 def wordpiece_word(word: str, vocab: set[str], unknown: str = "<unk>") -> list[str]:
     """Greedy longest match from the left; a character without a piece is unknown and passed over."""
     if word in vocab:
@@ -153,8 +252,6 @@ def wordpiece_word(word: str, vocab: set[str], unknown: str = "<unk>") -> list[s
 
 def train_unigram(counts: dict[str, int], size: int = 2_000, rounds: int = 5, longest: int = 8) -> dict[str, float]:
     """Piece log-probabilities: expected counts over all segmentations (forward and backward sums), pruned to a size each round."""
-    from math import exp
-
     cand: Counter = Counter()
     for w, n in counts.items():
         for i in range(len(w)):
@@ -186,6 +283,58 @@ def train_unigram(counts: dict[str, int], size: int = 2_000, rounds: int = 5, lo
     return score
 
 
+def learn_unigram(counts: DataFrame, size: int = 2_000, rounds: int = 5, longest: int = 8) -> dict[str, float]:
+    """As train_unigram, over a distributed table (word, n) of any size.
+
+    Expected counts are summed as whole multiples of 1 / UNIT, so that the result does not depend on the order of the sums.
+    """
+    counts = stored(counts.select("word", "n"), "unigram-words")
+    spark = counts.sparkSession
+    at = F.sequence(F.lit(1), F.length("word"))
+    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda k: F.substr("word", i, k))))
+    cand = stored(counts.select("n", F.explode(pieces).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n")), "unigram-pieces")
+    first = {r["piece"]: r["n"] for r in cand.where(F.length("piece") == 1).collect()}
+    chars = set(first)
+    first |= {r["piece"]: r["n"] for r in cand.orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(size * 4).collect()}
+    discard(cand)
+    total = sum(first.values())
+    score = {p: log(n / total) for p, n in first.items()}
+    for r in range(rounds):
+        sent = spark.sparkContext.broadcast({p: exp(x) for p, x in score.items()})
+
+        def expect(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            prob = sent.value
+            units: dict[str, int] = {}
+            for part in parts:
+                for w, n in zip(part["word"].tolist(), part["n"].tolist(), strict=True):
+                    end = len(w)
+                    arcs = []
+                    f = [1.0] + [0.0] * end
+                    for i in range(end):
+                        for j in range(i + 1, min(end, i + longest) + 1):
+                            p = prob.get(piece := w[i:j])
+                            if p is not None:
+                                arcs.append((i, j, p, piece))
+                                f[j] += f[i] * p
+                    if f[-1] > 0:
+                        b = [0.0] * end + [1.0]
+                        for i, j, p, piece in reversed(arcs):
+                            b[i] += p * b[j]
+                            units[piece] = units.get(piece, 0) + round(n * f[i] * p * b[j] / f[-1] * UNIT)
+            if units:
+                yield pd.DataFrame({"piece": list(units), "units": list(units.values())})
+
+        expected = {x["piece"]: x["units"] / UNIT for x in counts.mapInPandas(expect, "piece string, units long").groupBy("piece").agg(F.sum("units").alias("units")).collect()}
+        sent.destroy()
+        goal = max(size, int(size * 4 * (1 - (r + 1) / rounds)))
+        best = [p for p, _ in sorted(expected.items(), key=lambda x: (-x[1], x[0]))[:goal]]
+        kept = set(best) | chars
+        total = sum(max(expected.get(p, 0.0), 1e-6) for p in sorted(kept))
+        score = {p: log(max(expected.get(p, 0.0), 1e-6) / total) for p in kept}
+    discard(counts)
+    return score
+
+
 def unigram_word(word: str, score: dict[str, float], unknown: str = "<unk>", longest: int = 8) -> list[str]:
     """The segmentation of the highest sum of log-probabilities; characters without a piece are unknown."""
     best: list[tuple[float, int]] = [(0.0, 0)] + [(float("-inf"), 0)] * len(word)

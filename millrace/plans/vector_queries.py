@@ -162,12 +162,12 @@ def bpe_pair_stats(spark, sf_dir):
 
 @query("bpe_first_merge", f'SELECT "left", "right" FROM ({_PAIRS}) ORDER BY n DESC, "left", "right" LIMIT 1')
 def bpe_first_merge(spark, sf_dir):
-    return spark.createDataFrame(T.train_bpe(T.bounded_counts(_docs(spark, sf_dir)), 1), "left string, right string")
+    return T.pair_stats(T.word_counts(_docs(spark, sf_dir))).orderBy(F.desc("n"), "left", "right").limit(1).select("left", "right")
 
 
 @query("bpe_merges_200")
 def bpe_merges_200(spark, sf_dir):
-    got = T.train_bpe(T.bounded_counts(_docs(spark, sf_dir)), 200)
+    got = T.learn_bpe(T.word_counts(_docs(spark, sf_dir)), 200)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(got)], "rank int, left string, right string")
 
 
@@ -177,31 +177,31 @@ def _apply(spark, sf_dir, words, one):
 
 @query("bpe_encode")
 def bpe_encode(spark, sf_dir):
-    ranks = {p: k for k, p in enumerate(T.train_bpe(T.bounded_counts(_docs(spark, sf_dir)), 200))}
+    ranks = {p: k for k, p in enumerate(T.learn_bpe(T.word_counts(_docs(spark, sf_dir)), 200))}
     return _apply(spark, sf_dir, T.words_v2, lambda w: T.bpe_word(w, ranks))
 
 
 @query("bpe_encode_longest")
 def bpe_encode_longest(spark, sf_dir):
-    ranks = {p: k for k, p in enumerate(T.train_bpe(T.bounded_counts(_docs(spark, sf_dir)), 200))}
+    ranks = {p: k for k, p in enumerate(T.learn_bpe(T.word_counts(_docs(spark, sf_dir)), 200))}
     return _apply(spark, sf_dir, T.words_v2, lambda w: T.bpe_word(w, ranks, longest_first=True))
 
 
 @query("sentencepiece_encode")
 def sentencepiece_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    counts = {r["word"]: r["n"] for r in docs.select(F.explode(T.with_spaces(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(T.MAX_WORDS).collect()}
-    ranks = {p: k for k, p in enumerate(T.train_bpe(counts, 200))}
+    counts = docs.select(F.explode(T.with_spaces(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ranks = {p: k for k, p in enumerate(T.learn_bpe(counts, 200))}
     return _apply(spark, sf_dir, T.with_spaces, lambda w: T.bpe_word(w, ranks))
 
 
 @query("wordpiece_encode")
 def wordpiece_encode(spark, sf_dir):
-    vocab = T.wordpieces(T.bounded_counts(_docs(spark, sf_dir)), 5_000)
+    vocab = T.learn_wordpieces(T.word_counts(_docs(spark, sf_dir)), 5_000)
     return _apply(spark, sf_dir, T.words_v2, lambda w: T.wordpiece_word(w, vocab))
 
 
 @query("unigram_encode")
 def unigram_encode(spark, sf_dir):
-    score = T.train_unigram(T.bounded_counts(_docs(spark, sf_dir), most=3_000), 1_000, rounds=3)
+    score = T.learn_unigram(T.word_counts(_docs(spark, sf_dir)), 1_000, rounds=3)
     return _apply(spark, sf_dir, T.words_v2, lambda w: T.unigram_word(w, score))

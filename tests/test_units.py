@@ -176,6 +176,43 @@ def test_pieces():
     assert "".join(T.unigram_word("hello", score)) == "hello" and T.unigram_word("", score) == []
 
 
+def test_training_sees_every_word(spark, sf, tmp_path, monkeypatch):
+    from millrace.plans import catalog
+
+    # 200,000 words that occur twice, and 250,000 that occur once and alone have the pair (z, q)
+    often = ["".join("abcdefghijklmnopqrst"[k // 20**e % 20] for e in range(4, -1, -1)) for k in range(200_000)]
+    rare = [f"zq{k:x}" for k in range(250_000)]
+    spark.createDataFrame([(1, " ".join(often)), (2, " ".join(often)), (3, " ".join(rare))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in catalog.queries()["bpe_first_merge"](spark, str(tmp_path)).collect()] == [("z", "q")]
+
+    table = T.word_counts(spark.read.parquet(f"{sf}/documents.parquet"))
+    counts = {r["word"]: r["n"] for r in table.collect()}
+    want = T.train_bpe(counts, 60)
+    assert len(counts) > 3_000 and T.learn_bpe(table, 60) == want
+    monkeypatch.setattr(T, "MAX_PAIRS", 80)  # counted again when the pairs held run out
+    assert T.learn_bpe(table, 60) == want
+    assert T.learn_wordpieces(table, 2_000) == T.wordpieces(counts, 2_000)
+    score, same = T.learn_unigram(table, 500, 2), T.train_unigram(counts, 500, 2)
+    assert len(score.keys() & same.keys()) >= 0.99 * len(same)
+    assert max(abs(score[p] - same[p]) for p in score.keys() & same.keys() if same[p] > -12) < 1e-3
+
+
+def test_bpe_on_words_with_ties(spark):
+    for counts in ({"ab": 1, "cd": 1, "aab": 1, "aaaa": 2, "abab": 1, "": 3}, {"low": 5, "lower": 2, "newest": 6, "widest": 3}, {"</w>": 4, "x</w>": 2, "▁a😀b": 3}):
+        table = spark.createDataFrame(list(counts.items()), "word string, n long")
+        assert T.learn_bpe(table, 30) == T.train_bpe(counts, 30)
+
+
+def test_unigram_query_learns_on_all_words(spark, sf):
+    from millrace.plans import catalog
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    score = T.learn_unigram(T.word_counts(docs), 1_000, rounds=3)
+    got = {r["doc_id"]: r["tokens"] for r in catalog.queries()["unigram_encode"](spark, sf).collect()}
+    for r in docs.select("doc_id", T.words_v2(F.col("text")).alias("ws")).collect():
+        assert got[r["doc_id"]] == " ".join(p for w in r["ws"] for p in T.unigram_word(w, score))
+
+
 def test_cosine_of_zero(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert df.select(V.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
