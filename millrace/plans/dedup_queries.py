@@ -66,6 +66,16 @@ def simhash_pairs(spark, sf_dir):
     return D.simhash_pairs(D.simhash(_docs(spark, sf_dir)), 3)
 
 
+@query(
+    "simhash_links",
+    f"""WITH {_SIM}, sf AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY hi, lo) AS first FROM sh)
+      SELECT i, j, CAST(distance AS INTEGER) AS distance FROM (SELECT a.doc_id AS i, b.doc_id AS j, a.first AS fa, b.first AS fb, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance
+        FROM sf a JOIN sf b ON a.doc_id < b.doc_id) WHERE distance <= 3 AND i = fa AND (j = fb OR fa = fb)""",
+)
+def simhash_links(spark, sf_dir):
+    return D.simhash_links(D.simhash(_docs(spark, sf_dir)), 3)
+
+
 for _bits, _rounds in ((3, 10), (9, 24)):
 
     @query(f"simhash_dedup_{_bits}", greedy_sql(f"WITH {_SIM}, {_SIM_ONCE},", "SELECT v FROM so", _SIM_EDGES.replace("{0}", str(_bits)), "doc_id", _rounds))
@@ -86,6 +96,17 @@ def jaccard_pairs(spark, sf_dir):
     return D.jaccard_pairs(D.shingle_sets(_docs(spark, sf_dir)), 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "jaccard_links",
+    f"""WITH {_SETS}, jf AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY ss) AS first FROM jl),
+      ja AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM js a JOIN js b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
+      SELECT i, j, round(k / (x.n + y.n - k), 6) AS similarity FROM ja JOIN jf x ON x.doc_id = i JOIN jf y ON y.doc_id = j
+        WHERE k / (x.n + y.n - k) >= 0.7 AND i = x.first AND (j = y.first OR x.first = y.first)""",
+)
+def jaccard_links(spark, sf_dir):
+    return D.jaccard_links(D.shingle_sets(_docs(spark, sf_dir)), 0.7).withColumn("similarity", F.round("similarity", 6))
+
+
 for _t in (85, 70):
 
     @query(f"jaccard_dedup_{_t}", greedy_sql(f"WITH {_SETS},", _JACCARD_IDS, f"SELECT i, j FROM jp WHERE similarity >= {_t / 100}", "doc_id"))

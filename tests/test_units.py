@@ -129,6 +129,16 @@ def test_jaccard_matches_brute_force(spark):
     assert got == want and want
 
 
+def test_links_of_equal_classes(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long), (2, long.upper() + "!"), (3, long.replace(" ", "  ")), (4, long + " x"), (5, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["i"], r["j"]): r["similarity"] for r in D.jaccard_links(D.shingle_sets(df), 0.7).collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 1.0, (1, 4): pytest.approx(38 / 39)}
+    hashes = spark.createDataFrame([(1, 5, 9), (2, 5, 9), (3, 5, 9), (4, 5, 8), (5, 1023, 8)], "doc_id long, hi long, lo long")
+    assert {tuple(r) for r in D.simhash_links(hashes, 3).collect()} == {(1, 2, 0), (1, 3, 0), (1, 4, 1)}
+
+
 def test_group_advantage(spark):
     rows = [(1, 1.0)] * 4 + [(2, 0.0)] * 3 + [(2, 4.0), (3, float("nan"))]
     df = spark.createDataFrame(rows, "g int, reward double")
