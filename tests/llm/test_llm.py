@@ -515,3 +515,31 @@ def test_pipeline_empty(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_two_templates_of_a_host(spark):
+    def first(k):
+        return f"<html><body><div class=text><p>one {k} alpha</p><p>two {k} beta</p></div><div class=info>fixed words of the site</div></body></html>"
+
+    def second(k):
+        return f"<html><body><div class=text><p>same line</p></div><div class=story><p>third {k} gamma</p><p>fourth {k} delta</p></div></body></html>"
+
+    rows = [(k, "http://a.com/x", first(k)) for k in range(60)] + [(100 + k, "http://a.com/y", second(k)) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"one {k} alpha\n\ntwo {k} beta" for k in range(60))
+    assert all(got[100 + k] == f"third {k} gamma\n\nfourth {k} delta" for k in range(6))
+
+
+def test_content_after_many_tokens(spark):
+    site = "".join(f"<span class=s{k}>fixed text {k}</span>" for k in range(1_500))
+    rows = [(k, "http://b.com/", f"<html><body><div class=list>{site}</div><div class=text><p>one {k}</p><p>two {k}</p></div></body></html>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"one {k}\n\ntwo {k}" for k in range(5)}
+
+
+def test_wrappers_are_kept_whole():
+    w = html_wrapper.infer([_page(k, 3 + k, 0) for k in range(4)])
+    assert html_wrapper.content_path(html_wrapper.unpacked(html_wrapper.packed(w))) == html_wrapper.content_path(w)
+    far = [html_wrapper.Tok("open", f"i {k}") if s == 0 else html_wrapper.Tok("close", "i") for k in range(100) for s in (0, 1)]
+    end = [html_wrapper.Tok("open", "b"), html_wrapper.Tok("close", "b")]
+    assert html_wrapper.merge(far + end, end)[-2:] == end
