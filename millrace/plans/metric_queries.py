@@ -8,7 +8,7 @@ from millrace.functions import text as X
 from millrace.operators import metrics as M
 from millrace.plans.catalog import query, table
 from millrace.plans.dedup_queries import _words
-from millrace.plans.text_queries import _TAGGED, _strip, tagged
+from millrace.plans.text_queries import _TAGGED, _TAGGED_WHOLE, _strip, tagged
 
 _NGRAMS = f"SELECT n, array_to_string(ws[i : i + n - 1], chr(1)) AS g FROM (SELECT n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT {_words('text')} AS ws FROM conversations), range(1, 5) r(n) WHERE len(ws) >= n)"
 
@@ -68,15 +68,19 @@ def sequence_perplexity(spark, sf_dir):
 _PAIR = "(SELECT a.conv_id * 1000 + a.turn AS id, a.text AS candidate, concat(substr(a.text, 1, 60), ' ', b.text) AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
-def _pairs(spark, sf_dir):
+_PAIR_WHOLE = _PAIR.replace("substr(a.text, 1, 60)", "a.text")
+
+
+def _pairs(spark, sf_dir, whole=False):
+    own = F.col("text") if whole else F.substring("text", 1, 60)
     c = table(spark, sf_dir, "conversations")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return c.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("candidate"), F.concat(F.substring("text", 1, 60), F.lit(" "), "next").alias("reference"))
+    return c.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("candidate"), F.concat(own, F.lit(" "), "next").alias("reference"))
 
 
-def _bleu_sql() -> str:
+def _bleu_sql(pair: str = _PAIR) -> str:
     grams = lambda col, n: f"SELECT id, array_to_string({col}[i : i + {n - 1}], chr(1)) AS g, count(*) AS k FROM (SELECT id, {col}, unnest(range(1, len({col}) - {n} + 2)) AS i FROM w WHERE len({col}) >= {n}) GROUP BY 1, 2"
-    parts = [f"WITH w AS (SELECT id, {_words('candidate')} AS c, {_words('reference')} AS r FROM {_PAIR})"]
+    parts = [f"WITH w AS (SELECT id, {_words('candidate')} AS c, {_words('reference')} AS r FROM {pair})"]
     for n in range(1, 5):
         parts.append(f"m{n} AS (SELECT a.id, sum(least(a.k, b.k)) AS m FROM ({grams('c', n)}) a JOIN ({grams('r', n)}) b ON a.id = b.id AND a.g = b.g GROUP BY 1)")
     logs = " + ".join(f"ln(CASE WHEN coalesce(m{n}.m, 0) > 0 THEN m{n}.m ELSE 0.1 END / greatest(1, len(c) - {n - 1}))" for n in range(1, 5))
@@ -89,6 +93,16 @@ def bleu4(spark, sf_dir):
     return _rounded(M.bleu(_pairs(spark, sf_dir)), "bleu")
 
 
+@query("bleu4_whole", _bleu_sql(_PAIR_WHOLE))
+def bleu4_whole(spark, sf_dir):
+    return _rounded(M.bleu(_pairs(spark, sf_dir, whole=True)), "bleu")
+
+
+@query("meteor_whole")
+def meteor_whole(spark, sf_dir):
+    return _pairs(spark, sf_dir, whole=True).select("id", F.round(M.meteor(F.col("candidate"), F.col("reference")), 6).alias("meteor"))
+
+
 @query("meteor")
 def meteor(spark, sf_dir):
     return _pairs(spark, sf_dir).select("id", F.round(M.meteor(F.col("candidate"), F.col("reference")), 6).alias("meteor"))
@@ -120,6 +134,32 @@ def reward_rollup(spark, sf_dir):
     return r.agg(F.count("*").alias("samples"), F.round(F.avg(total), 6).alias("mean_reward"), F.round(F.avg("correctness"), 6).alias("accuracy"))
 
 
+_EXPECT_WHOLE = _strip("text")
+
+
+@query(
+    "rule_rewards_whole",
+    rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(r, '(?s)^\s*<thinking>.*?</thinking>\s*<answer>.*?</answer>\s*$') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS format,
+        CASE WHEN regexp_matches(r, '(?s)<thinking>.*?</thinking>') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS think,
+        CASE WHEN {_strip("regexp_extract(r, '(?s)<answer>(.*?)</answer>', 1)")} = {_EXPECT_WHOLE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correctness FROM (SELECT conv_id, turn, text, {_TAGGED_WHOLE} AS r FROM conversations)""",
+)
+def rule_rewards_whole(spark, sf_dir):
+    t = tagged(table(spark, sf_dir, "conversations"), whole=True)
+    return t.select("conv_id", "turn", M.rule_rewards(F.col("response"), X.strip(F.col("text"))).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@query(
+    "reward_rollup_whole",
+    rf"""SELECT count(*) AS samples, round(avg(2.0 * f + t + c), 6) AS mean_reward, round(avg(c), 6) AS accuracy FROM (SELECT
+        CASE WHEN regexp_matches(r, '(?s)^\s*<thinking>.*?</thinking>\s*<answer>.*?</answer>\s*$') THEN 1.0 ELSE 0.0 END AS f, CASE WHEN regexp_matches(r, '(?s)<thinking>.*?</thinking>') THEN 1.0 ELSE 0.0 END AS t,
+        CASE WHEN {_strip("regexp_extract(r, '(?s)<answer>(.*?)</answer>', 1)")} = {_EXPECT_WHOLE} THEN 1.0 ELSE 0.0 END AS c FROM (SELECT text, {_TAGGED_WHOLE} AS r FROM conversations))""",
+)
+def reward_rollup_whole(spark, sf_dir):
+    r = rule_rewards_whole(spark, sf_dir)
+    total = F.col("format") + F.col("think") + F.col("correctness")
+    return r.agg(F.count("*").alias("samples"), F.round(F.avg(total), 6).alias("mean_reward"), F.round(F.avg("correctness"), 6).alias("accuracy"))
+
+
 @query("group_advantage", f"SELECT event_id, round((reward - avg(reward) OVER w) / (coalesce(stddev_samp(reward) OVER w, 0) + 1e-4), 6) AS advantage FROM (SELECT * EXCLUDE (advantage) FROM {_EV}) WINDOW w AS (PARTITION BY event_id // 4)")
 def group_advantage(spark, sf_dir):
     e = _events(spark, sf_dir).drop("advantage").withColumn("g", F.floor(F.col("event_id") / 4))

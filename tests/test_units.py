@@ -139,6 +139,20 @@ def test_links_of_equal_classes(spark):
     assert {tuple(r) for r in D.simhash_links(hashes, 3).collect()} == {(1, 2, 0), (1, 3, 0), (1, 4, 1)}
 
 
+def test_whole_texts(spark, tmp_path):
+    from millrace.plans import catalog
+
+    text = "word " * 30 + "end"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, text), (1, 1, text)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert tuple(run("repair_encoding_whole")[0]) == (1, "é" + text, text)
+    assert {r["answer"] for r in run("answer_extract_whole")} == {text}
+    assert {r["correctness"] for r in run("rule_rewards_whole")} == {1.0} and run("reward_rollup_whole")[0]["accuracy"] == 1.0
+    # 31 words in the candidate, all in the reference of 62: only the length counts
+    assert run("bleu4_whole")[0]["bleu"] == pytest.approx(np.exp(-1), abs=1e-6) and len(run("meteor_whole")) == 1
+
+
 def test_group_advantage(spark):
     rows = [(1, 1.0)] * 4 + [(2, 0.0)] * 3 + [(2, 4.0), (3, float("nan"))]
     df = spark.createDataFrame(rows, "g int, reward double")
