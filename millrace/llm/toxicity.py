@@ -35,8 +35,6 @@ STEM = 5
 WORD_PRIOR, STEM_PRIOR = 2.0, 4.0
 #: A token scores if its log-odds exceed LEAST and are Z standard deviations above zero.
 LEAST, Z = 2.5, 4.0
-#: Tokens (words and stems) with the highest log-odds that a model holds at most.
-MAX_TOKENS = 200_000
 LOSS = 0.5
 ALPHA = 0.05
 K = 0.3
@@ -163,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     stem_rate = (F.col("k") + STEM_PRIOR * base_t) / (F.col("n") + STEM_PRIOR)
     words = counts.where(F.col("k") > 0).withColumn("stem", F.substring("w", 1, STEM)).join(stems.select("stem", stem_rate.alias("rate"), (good & (F.length("stem") == STEM)).alias("stem_good")), "stem")
     words = _odds_columns(words, n_toxic, n_other, WORD_PRIOR * F.col("rate"), WORD_PRIOR * (1 - F.col("rate")))
-    found_words = words.where(good & ~F.col("stem_good") & (F.col("k") >= 3)).orderBy(F.desc("z"), "w").limit(MAX_TOKENS).select("w", "odds", "n", "k").collect()
-    found_stems = stems.where(good & (F.length("stem") == STEM) & (F.col("k") >= 3)).orderBy(F.desc("z"), "stem").limit(MAX_TOKENS).select("stem", "odds", "n", "k").collect()
+    found_words = words.where(good & ~F.col("stem_good") & (F.col("k") >= 3)).orderBy(F.desc("z"), "w").select("w", "odds", "n", "k").collect()
+    found_stems = stems.where(good & (F.length("stem") == STEM) & (F.col("k") >= 3)).orderBy(F.desc("z"), "stem").select("stem", "odds", "n", "k").collect()
     # the scores of non-toxic training texts: how often a token of theirs scores
     other_tokens = max(1, counts.agg(F.sum(F.col("n") - F.col("k"))).collect()[0][0] or 0)
     rates = [(r["odds"], (r["n"] - r["k"] + 0.5 / max(1, len(found_words) + len(found_stems))) / other_tokens) for r in [*found_words, *found_stems]]

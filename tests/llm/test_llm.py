@@ -543,3 +543,12 @@ def test_wrappers_are_kept_whole():
     far = [html_wrapper.Tok("open", f"i {k}") if s == 0 else html_wrapper.Tok("close", "i") for k in range(100) for s in (0, 1)]
     end = [html_wrapper.Tok("open", "b"), html_wrapper.Tok("close", "b")]
     assert html_wrapper.merge(far + end, end)[-2:] == end
+
+
+def test_toxic_vocabulary_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOKENS", 1, raising=False)
+    bad = ["grumble", "snarlish", "vexation", "blighter"]
+    rows = [(k, " ".join(["plain", "words", "here"] + (bad if k % 2 else ["calm", "day"])), k % 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", F.concat("text", F.lit(" "), F.col("doc_id").cast("string")).alias("text")), df.select("doc_id", "toxic"))
+    assert len(model.words) + len(model.stems) >= len(bad)
