@@ -6,11 +6,13 @@ same score and serve selection.
 
 Features of a whole text, hashed to 2**BITS places: its distinct lower-cased words (together of unit length), the
 shapes of its words (case and closing marks) and levels of text ratios (symbols, capitals, repeats, ...). Fitting
-takes a bounded sample of rated rows; scoring is one pass without a shuffle.
+takes a sample of rated rows that is bounded in rows and in features, in one executor task; scoring is one pass
+without a shuffle.
 
 Defined cases: null or empty text has the features of an empty text; rows are scored one by one, so repeated rows,
-ties and null ids need no rule; without rated rows, or with a single grade, every document gets that grade (or the
-top grade) with certainty; other columns are carried and may have any name.
+ties and null ids need no rule there; in fitting, rows that repeat an id and its features count once and a null id is
+not rated; without rated rows, or with a single grade, every document gets that grade (or the top grade) with
+certainty; other columns are carried and may have any name.
 """
 
 from __future__ import annotations
@@ -21,12 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import discard, stored, unused
+
 BITS = 18
-#: Rated rows that the model is fitted on at most: those with the smallest hash of the id.
+#: Rated rows that the model is fitted on at most, those with the smallest hash of the id, and the features (8 bytes
+#: each, twice that while fitting) that they may have together; the first row beyond ends the sample.
 MAX_RATED = 8_000
+MAX_FEATURES = 8_000_000
 EPOCHS = 120
 RIDGE = 1e-5
 
@@ -112,8 +119,8 @@ def fit_rows(texts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_g
     if len(texts) == 0 or n_grades < 2 or len(np.unique(grades)) < 2:
         top = int(grades[0]) if len(grades) else max(1, n_grades - 1)
         return Ordinal(np.zeros(size), np.where(np.arange(max(1, n_grades - 1)) < top, -40.0, 40.0))
-    idx = np.concatenate([t[0] for t in texts])
-    val = np.concatenate([t[1] for t in texts])
+    idx = np.concatenate([t[0] for t in texts]).astype(np.int32)
+    val = np.concatenate([t[1] for t in texts]).astype(np.float32)
     length = np.array([len(t[0]) for t in texts])
     at = np.r_[0, np.cumsum(length)[:-1]]
     w = np.zeros(size)
@@ -129,7 +136,7 @@ def fit_rows(texts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_g
         p = np.maximum(up - lo, 1e-9)
         dup, dlo = up * (1 - up), lo * (1 - lo)
         gs = (dup - dlo) / p / n  # d(-log p) / ds
-        gw = np.bincount(idx, weights=val * np.repeat(gs, length), minlength=size) + RIDGE * w
+        gw = np.bincount(idx, weights=val * np.repeat(gs.astype(np.float32), length), minlength=size) + RIDGE * w
         ge = np.zeros(n_grades + 1)
         np.add.at(ge, grades + 1, -dup / p / n)
         np.add.at(ge, grades, dlo / p / n)
@@ -145,8 +152,11 @@ def fit_rows(texts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_g
     return Ordinal(w.astype("float32"), free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX_RATED) -> Ordinal:
-    """ratings: doc_id, grade (0 .. n_grades - 1). Rows with crc32(doc_id as text) mod 3 = 1 are held out."""
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX_RATED, max_features: int = MAX_FEATURES) -> Ordinal:
+    """ratings: doc_id, grade (0 .. n_grades - 1). Rows with crc32(doc_id as text) mod 3 = 1 are held out.
+
+    One executor task fits; the driver gets the weights alone. The task holds max_features features at most.
+    """
     chosen = (
         ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
         .groupBy(F.col("doc_id").alias("__id"))
@@ -155,16 +165,35 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX
         .limit(max_rated)
     )
 
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            made = [features(t.as_py()) for t in part.column(2)]
+            p, v = [p.astype("<i4").tobytes() for p, _ in made], [v.astype("<f4").tobytes() for _, v in made]
+            size = pa.array([len(x) // 4 for x in p], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, pa.array(p, pa.binary()), pa.array(v, pa.binary())], names=["id", "grade", "size", "p", "v"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "__grade", "text")
+    made = rows.mapInArrow(measure, "id long, grade int, size long, p binary, v binary")
+    # a place in the order for each row; rows that repeat (id, features) count once
+    made = stored(made.withColumn("at", F.struct(F.xxhash64("id").alias("h"), "id", F.xxhash64("p", "v").alias("f"))), "rated")
+    first = made.groupBy("at").agg(F.max("size").alias("size")).orderBy("at").limit(max_rated)
+    total = first.select("at", F.sum("size").over(Window.orderBy("at")).alias("total"))  # of max_rated rows at most
+    last = total.where(F.col("total") <= max_features).agg(F.max("at").alias("at")).collect()[0]["at"]
+    if last is None:
+        return fit_rows([], np.zeros(0, np.int64), n_grades)
+    once = made.where(F.col("at") <= F.struct(*[F.lit(x).cast("bigint") for x in last])).dropDuplicates(["at"])
+
+    def train(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades, texts = [], []
         for part in parts:
-            made = [features(t) for t in part["text"]]
-            yield pd.DataFrame({"id": part["doc_id"], "grade": part["__grade"], "p": [p.astype("<i4").tobytes() for p, _ in made], "v": [v.astype("<f4").tobytes() for _, v in made]})
+            grades.append(part.column("grade").to_numpy())
+            texts += [(np.frombuffer(p.as_py(), "<i4"), np.frombuffer(v.as_py(), "<f4")) for p, v in zip(part.column("p"), part.column("v"), strict=True)]
+        model = fit_rows(texts, np.concatenate([np.zeros(0, np.int64), *grades]).astype(np.int64), n_grades)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["w", "t"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__grade")
-    got = rows.mapInPandas(measure, "id long, grade int, p binary, v binary").toPandas()
-    got = got.sort_values(["id", "p"], kind="stable")
-    texts = [(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for p, v in zip(got["p"], got["v"], strict=True)]
-    return fit_rows(texts, got["grade"].to_numpy(np.int64), n_grades)
+    got = once.select("at", "grade", "p", "v").coalesce(1).sortWithinPartitions("at").select("grade", "p", "v").mapInArrow(train, "w binary, t array<double>").collect()
+    discard(made)
+    return Ordinal(np.frombuffer(got[0]["w"], "<f4"), np.array(got[0]["t"]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -186,12 +215,15 @@ def rate(text: Column, model: Ordinal, spark) -> Column:
     return run(text)
 
 
-def classify(docs: DataFrame, model: Ordinal, least_tail: float = 0.5) -> DataFrame:
-    """doc_id, expected_grade, tail_probability, kept: one row per row of docs."""
+def classify(docs: DataFrame, model: Ordinal, least_tail: float = 0.5, least_expected: float = 0.0) -> DataFrame:
+    """doc_id, expected_grade, tail_probability, kept: one row per row of docs. Kept are rows that reach both bounds."""
     rated = docs.select("doc_id", rate(F.col("text"), model, docs.sparkSession).alias("r"))
-    return rated.select("doc_id", F.col("r.expected_grade").alias("expected_grade"), F.col("r.tail").alias("tail_probability"), (F.col("r.tail") >= least_tail).alias("kept"))
+    kept = (F.col("r.tail") >= least_tail) & (F.col("r.expected_grade") >= least_expected)
+    return rated.select("doc_id", F.col("r.expected_grade").alias("expected_grade"), F.col("r.tail").alias("tail_probability"), kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, model: Ordinal, least_tail: float = 0.5) -> DataFrame:
-    """The rows of docs whose tail probability P(grade >= 1) is at least least_tail."""
-    return docs.where(rate(F.col("text"), model, docs.sparkSession)["tail"] >= least_tail)
+def keep_good(docs: DataFrame, model: Ordinal, least_tail: float = 0.5, least_expected: float = 0.0) -> DataFrame:
+    """The rows of docs whose tail probability P(grade >= 1) and expected grade reach the bounds."""
+    name = unused(docs, "rated")
+    rated = docs.withColumn(name, rate(F.col("text"), model, docs.sparkSession))
+    return rated.where((F.col(name)["tail"] >= least_tail) & (F.col(name)["expected_grade"] >= least_expected)).drop(name)
