@@ -25,6 +25,7 @@ rows that share a doc_id belong to one component; ties go to the smallest id; ot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,26 +41,78 @@ FINE_COLUMNS = 8192
 GROUP = 48
 #: A node has BANDS keys of BAND_ROWS minima each; nodes with an equal key are compared with LEADERS of them.
 BANDS, BAND_ROWS, LEADERS = 6, 4, 3
-#: How often leaders are drawn.
-TURNS = 3
+#: How often leaders are drawn at most, and the share of the nodes (one in FEW) under which new links end it. This sets
+#: what is left to the token groups, hence the speed; every pair that may link is compared in any case.
+TURNS, FEW = 4, 1000
+#: Groups under a token that others are paired with in one share.
+SHARE = 64
 #: Frequent tokens that the order knows at most. The rest are ordered by hash; no pair is lost.
 HOT_TOKENS = 65_536
 SAMPLE = 16
 SAMPLE_LEAST = 4
 
+#: Bytes of a word that are hashed by table, and bytes of a text that are split into words at once, about.
+WORD_PLACES, AT_ONCE = 64, 1 << 20
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0x94D049BB133111EB)
 _ORDERS = np.array([(2 * k + 1) * 0xBF58476D1CE4E5B9 % (1 << 64) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 
 
+def _table() -> np.ndarray:
+    """A 64-bit number for every place of a word and every byte there; A-Z have those of a-z."""
+    x = (np.arange(1, WORD_PLACES * 256 + 1, dtype=np.uint64) * _MIX).reshape(WORD_PLACES, 256)
+    for shift, by in ((30, np.uint64(0xBF58476D1CE4E5B9)), (27, _LAST)):
+        x = (x ^ (x >> np.uint64(shift))) * by
+    x ^= x >> np.uint64(31)
+    x[:, 65:91] = x[:, 97:123]
+    return x.reshape(-1)
+
+
+_PLACE_BYTE = _table()
+_IN_WORD = np.array([c not in b"\t\n\v\f\r " for c in range(256)])
+_SPACE = re.compile(rb"[\t\n\v\f\r ]")
+
+
+def _hashes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = _IN_WORD[b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    at = np.arange(0, int(size.sum()) << 8, 256) - np.repeat(first << 8, size)
+    long = np.flatnonzero(size > WORD_PLACES)
+    if len(long):
+        at = at.clip(0, (WORD_PLACES - 1) << 8)
+    at += b[inside[1:-1]]
+    out = np.add.reduceat(_PLACE_BYTE.take(at), first)
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + size[i]].lower())
+    return out
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word, in order: the numbers of its places summed (words over WORD_PLACES bytes: xxhash). A-Z count as a-z."""
+    if len(raw) <= AT_ONCE:
+        return _hashes(raw)
+    out, at = [], 0
+    while at < len(raw):
+        m = _SPACE.search(raw, at + AT_ONCE)
+        end = m.start() if m else len(raw)
+        out.append(_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles; A-Z is lower-cased, words split at ASCII white space."""
-    words = text.encode().lower().split() if text else []
-    n = len(words)
+    h = word_hashes(text.encode()) if text else np.zeros(0, np.uint64)
+    n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
-    ids = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
-    h = np.fromiter((ids[w] for w in words), np.uint64, n)
+        return h
     width = min(k, n)
     out = np.full(n - width + 1, width, np.uint64)  # shorter sequences are other shingles
     for j in range(width):
@@ -185,14 +238,22 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.abs(a - b).sum())
 
 
+def _labelled(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """nodes with comp: the component so far."""
+    if comps is None:
+        return nodes.withColumn("comp", F.col("doc_id"))
+    known = comps.select(F.col("v").alias("known"), "comp")
+    return nodes.join(broadcast_if_small(known, known.count()), F.col("doc_id") == F.col("known"), "left").drop("known").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) to those whose rows of the matrix leave it possible that they link."""
+    """Candidate pairs (a, b) to those whose rows of the matrix leave it possible that they link. nodes have comp."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not part.num_rows:
                 continue
-            va, vb = (np.frombuffer(b"".join(part.column(x).to_pylist()), "<u2").reshape(-1, COLUMNS) for x in ("va", "vb"))
+            va, vb = (_rows(part.column(x)) for x in ("va", "vb"))
             na, nb = part.column("na").to_numpy().astype(np.int64), part.column("nb").to_numpy().astype(np.int64)
             ok = _near(na, nb, va, vb, percent)
             fa, fb = part.column("fa"), part.column("fb")
@@ -200,16 +261,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 ok[i] = (100 + percent) * _apart(fa[i].as_py(), fb[i].as_py()) <= (100 - percent) * (na[i] + nb[i])
             yield pa.RecordBatch.from_arrays([part.column(x).filter(pa.array(ok)) for x in ("a", "b")], names=["a", "b"])
 
-    left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("cols").alias("va"), F.col("fine").alias("fa"))
-    right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("cols").alias("vb"), F.col("fine").alias("fb"))
-    full = pairs.join(left, "a").join(right, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    return full.mapInArrow(run, "a long, b long")
+    side = lambda x: nodes.select(F.col("doc_id").alias(x), *[F.col(c).alias(d + x) for c, d in (("n", "n"), ("comp", "c"), ("odd", "o"), ("cols", "v"), ("fine", "f"))])
+    apart = sum((F.bit_count(F.get("oa", F.lit(k)).bitwiseXOR(F.get("ob", F.lit(k)))) for k in range(4)), F.lit(0))
+    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    full = pairs.where("a <> b").distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("ca") != F.col("cb")) & sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
+    return full.select("a", "b", "na", "nb", "va", "vb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Of candidate pairs (a, b) those whose whole sets link. Written to the shared folder."""
-    pairs = stored(pairs.where("a <> b").distinct(), f"{name}-pairs")
-    close = stored(_possible(pairs, nodes, percent).distinct(), f"{name}-close")
+    close = stored(_possible(pairs, nodes, percent), f"{name}-close")
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, 2 * close.count()), F.col("doc_id") == F.col("id")).select("id", "text")
 
@@ -233,118 +294,153 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     out = stored(full.mapInArrow(compare, "a long, b long"), f"{name}-links")
-    discard(pairs, close, have)
+    discard(close, have)
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, comp): the smallest id reachable along links (a, b), for every id that has a link."""
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """(v, comp): the smallest id reachable along links (a, b), for every id that has a link.
+
+    With steps, only so many: ids of one comp are of one component then, but not the other way round.
+    """
     both = stored(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct().toDF("u", "v"), "edges")
-    label = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("comp")), "label0")
-    step = 0
-    while True:
-        step += 1
+    label, step = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("comp")), "label"), 0
+    while steps is None or step < steps:
         around = both.join(label.toDF("u", "lu"), "u").groupBy("v").agg(F.min("lu").alias("m"))
         lower = label.join(around, "v").select("v", "comp", F.least("comp", "m").alias("new"))
-        short = lower.alias("x").join(label.toDF("w", "lw"), F.col("new") == F.col("w"), "left").select("v", "comp", F.least("new", F.coalesce("lw", "new")).alias("new"))
-        done = stored(short, f"label{step}")
-        if done.where("comp <> new").limit(1).count() == 0:
-            return done.select("v", F.col("new").alias("comp"))
+        short = lower.join(label.toDF("w", "lw"), F.col("new") == F.col("w"), "left").select("v", "comp", F.least("new", F.coalesce("lw", "new")).alias("new"))
+        done, step = stored(short, "label"), step + 1
+        same = steps is None and done.where("comp <> new").limit(1).count() == 0
+        discard(label)
         label = done.select("v", F.col("new").alias("comp"))
+        label._millrace_path = done._millrace_path
+        if same:
+            break
+    discard(both)
+    return label
 
 
-def _starred(nodes: DataFrame, comps: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each node and LEADERS ids, drawn by hash, of those that have an equal key.
+def _starred(nodes: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs (a, b) of each node and LEADERS ids, drawn by hash, of those that have an equal key. nodes have comp.
 
     Several leaders, since copies that have each changed need not be close enough to a single one of them; in later
-    turns others, for nodes that are not in the leader's component by then.
+    turns others, under keys that more than one component has by then.
     """
-    each = nodes.select("doc_id", "n", "odd", F.explode("keys").alias("key"))
-    each = each.withColumn("comp", F.col("doc_id")) if comps is None else each.join(comps.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    drawn = [F.min_by(F.struct("doc_id", "comp", "n", "odd"), F.xxhash64("doc_id", "key", F.lit(turn * LEADERS + r))) for r in range(LEADERS)]
-    first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.array(*drawn).alias("b")).where("x <> y").select("key", F.array_distinct("b").alias("b"))
-    met = each.join(first, "key").select(F.col("doc_id").alias("a"), "comp", "n", "odd", F.explode("b").alias("b"))
-    apart = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("b.odd", F.lit(k)))) for k in range(4)), F.lit(0))
-    close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("b.n"))
-    sizes = (100 * F.col("n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("n"))
-    return met.where(sizes & close & (F.col("comp") != F.col("b.comp"))).select("a", F.col("b.doc_id").alias("b"))
-
-
-def _unpack(members: list[dict]) -> tuple[np.ndarray, ...]:
-    v = np.frombuffer(b"".join(m["cols"] for m in members), "<u2").reshape(-1, COLUMNS).astype(np.int32)
-    return *(np.array([m[f] for m in members], np.int64) for f in ("doc_id", "comp", "n", "pos")), v
-
-
-def _open(queries: list[dict], group: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
-    """Candidate pairs of queries and members of a group, if the group's token union lets the query in."""
-    da, ka, na, pa_, va = _unpack(queries)
-    db, kb, nb, pb, vb = (da, ka, na, pa_, va) if same else _unpack(group)
-    most, least, largest, out = vb.max(axis=0), vb.min(axis=0), int(nb.max()), []
+    each = nodes.select("doc_id", "comp", F.explode("keys").alias("key"))
+    # the smallest id after its bits are flipped by a hash of the key: a draw that a plain minimum makes
+    flips = [F.xxhash64("key", F.lit(turn * LEADERS + r)) for r in range(LEADERS)]
+    drawn = [F.min(F.col("doc_id").bitwiseXOR(f)).alias(f"m{r}") for r, f in enumerate(flips)]
+    first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *drawn).where("x <> y")
+    first = first.select("key", F.array_distinct(F.array(*[F.col(f"m{r}").bitwiseXOR(f) for r, f in enumerate(flips)])).alias("b"))
+    return each.join(first, "key").select(F.col("doc_id").alias("a"), F.explode("b").alias("b"))
+
+
+def _rows(cols: pa.Array) -> np.ndarray:
+    """Rows of the matrix out of a binary column."""
+    return np.frombuffer(b"".join(cols.to_pylist()), "<u2").reshape(-1, COLUMNS)
+
+
+def _members(lists: pa.Array) -> tuple[np.ndarray, dict]:
+    """(where each group starts, and the end; the members' fields as arrays) of a column of groups."""
+    flat = lists.flatten()
+    fields = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+    out = {x: fields[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("doc_id", "comp", "n", "pos")}
+    out["v"] = _rows(fields["cols"])
+    if "fine" in fields:
+        out["fine"] = fields["fine"]
+    return np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64), out
+
+
+def _maybe(m: dict, i: np.ndarray, w: dict, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether members i of m and j of w, that share a token, may link and are not known to be of one component."""
+    na, nb, at, bt = m["n"][i], w["n"][j], m["pos"][i], w["pos"][j]
+    ok = (m["comp"][i] != w["comp"][j]) & (100 * nb >= percent * na) & (100 * na >= percent * nb)
+    # under the first token that two sets share, what stands before it in either is not shared
+    ok &= (100 + percent) * (at + bt) <= (100 - percent) * (na + nb)
+    # the smaller set has the token in its shorter prefix; equal sizes allow either
+    return ok & ((nb >= na) | (bt < index_length(nb, percent))) & ((nb <= na) | (at < index_length(na, percent)))
+
+
+def _within(at: np.ndarray, m: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among the members of each group."""
+    group, n = np.repeat(np.arange(len(at) - 1), np.diff(at)), int(at[-1])
+    out = []
+    for apart in range(1, int(np.diff(at).max(initial=0))):
+        i = np.flatnonzero(group[apart:] == group[: n - apart])
+        i = i[_maybe(m, i, m, i + apart, percent)]
+        i = i[_near(m["n"][i], m["n"][i + apart], m["v"][i], m["v"][i + apart], percent)]
+        out.append((m["doc_id"][i], m["doc_id"][i + apart]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _open(m: dict, i: np.ndarray, w: dict, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Candidate pairs of queries (i of m) and members (j of w) of a group, if the group's token union lets the query in."""
+    v, u = m["v"][i].astype(np.int32), w["v"][j].astype(np.int32)
+    most, least, largest = u.max(axis=0), u.min(axis=0), int(w["n"][j].max())
     # the union's bound: no member can be closer to the query than this
-    apart = (np.maximum(va - most, 0) + np.maximum(least - va, 0)).sum(axis=1)
-    for i in np.flatnonzero((100 + percent) * apart <= (100 - percent) * (na + largest)):
-        ok = _near(na[i], nb, va[i], vb, percent) & (kb != ka[i])
-        ok &= (100 * nb >= percent * na[i]) & (100 * na[i] >= percent * nb)
-        # under the first token that two sets share, what stands before it in either is not shared
-        ok &= (100 + percent) * (pa_[i] + pb) <= (100 - percent) * (na[i] + nb)
-        # the smaller set has the token in its shorter prefix; equal sizes allow either
-        ok &= np.where(nb < na[i], pb < index_length(nb, percent), True) & np.where(nb > na[i], pa_[i] < index_length(na[i], percent), True)
-        if same:
-            ok &= np.arange(len(db)) > i
-        fine = queries[i].get("fine")
-        for j in np.flatnonzero(ok):
-            if not fine or (100 + percent) * _apart(fine, group[j]["fine"]) <= (100 - percent) * (na[i] + nb[j]):
-                out.append((int(da[i]), int(db[j])))
+    apart = (np.maximum(v - most, 0) + np.maximum(least - v, 0)).sum(axis=1)
+    out = []
+    for q in i[(100 + percent) * apart <= (100 - percent) * (m["n"][i] + largest)]:
+        k = j[_maybe(m, np.full(len(j), q), w, j, percent)]
+        k = k[_near(m["n"][q], w["n"][k], m["v"][q][None, :], w["v"][k], percent)]
+        fine = m["fine"][q].as_py() if len(k) else b""
+        out += [(int(m["doc_id"][q]), int(w["doc_id"][x])) for x in k if (100 + percent) * _apart(fine, w["fine"][x].as_py()) <= (100 - percent) * (m["n"][q] + w["n"][x])]
     return out
 
 
-def _pairs_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    out = list(dict.fromkeys(out))
-    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+def _grouped(nodes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs (a, b) of different components, out of the groups under each token that qualify. nodes have comp.
 
-
-def _grouped(nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components, out of the groups under each token that qualify."""
-    comps = comps.toDF("doc_id", "comp")
-    own = nodes.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    toks = nodes.select("doc_id", F.posexplode("prefix").alias("pos", "tok"))
-    multi = own.select("comp", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("tok", "k")
-    rows = toks.join(multi, "tok").join(own.select("doc_id", "comp", "n", "cols"), "doc_id")
+    The second value: the tables that the pairs are read from.
+    """
+    multi = nodes.select("comp", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("tok", "k")
+    toks = nodes.select("doc_id", F.posexplode("prefix").alias("pos", "tok")).join(multi, "tok")
+    rows = toks.join(nodes.select("doc_id", "comp", "n", "cols"), "doc_id")
     rows = stored(rows.select("tok", "k", F.struct("doc_id", "comp", "n", "pos", "cols").alias("m")), "matrix")
 
     def within(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield _pairs_batch([p for ms in part.column(0) for m in (ms.as_py(),) for p in _open(m, m, True, percent)])
+            a, b = _within(*_members(part.column(0)), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # few rows under a token: they are one group, compared within itself
     small = rows.where(F.col("k") <= GROUP).groupBy("tok").agg(F.collect_list("m").alias("ms")).select("ms").mapInArrow(within, "a long, b long")
 
     # many: groups by size class, the large components in groups of their own, all of about GROUP rows; groups of the
     # same and of neighbouring classes are paired, but for those of one and the same component
-    many = rows.where(F.col("k") > GROUP).withColumn("class", F.floor(F.log(F.col("m.n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int"))
+    many = rows.where(F.col("k") > GROUP).withColumn("class", F.floor(F.log(F.col("m.n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")).withColumn("comp", F.col("m.comp"))
+    counts = stored(many.groupBy("tok", "class", "comp").agg(F.count("*").alias("own")), "counts")
+    large = counts.where(F.col("own") > GROUP)
+    mixed = stored(counts.where(F.col("own") <= GROUP).groupBy("tok", "class").agg(F.sum("own").alias("mixed")), "mixed")
+    sized = many.join(broadcast_if_small(large, large.count()), ["tok", "class", "comp"], "left").join(broadcast_if_small(mixed, mixed.count()), ["tok", "class"], "left")
     # here the bound on members is taken over the fine columns too: there are few such rows, but many pairs
     fine = nodes.select(F.col("doc_id").alias("owner"), "fine")
-    many = many.join(fine, F.col("m.doc_id") == F.col("owner")).drop("owner").withColumn("m", F.struct("m.*", "fine")).drop("fine")
-    many = many.withColumn("comp", F.col("m.comp"))
-    own_rows = many.groupBy("tok", "class", "comp").agg(F.count("*").alias("own"))
-    sized = many.join(own_rows.where(F.col("own") > GROUP), ["tok", "class", "comp"], "left")
-    mixed = own_rows.where(F.col("own") <= GROUP).groupBy("tok", "class").agg(F.sum("own").alias("mixed"))
-    sized = sized.join(mixed, ["tok", "class"], "left")
+    sized = sized.join(fine, F.col("m.doc_id") == F.col("owner")).withColumn("m", F.struct("m.*", "fine"))
     chunk = F.pmod(F.xxhash64("m.doc_id"), F.ceil(F.coalesce("own", "mixed") / F.lit(GROUP)).cast("long"))
     side = F.when(F.col("own").isNull(), F.lit(-(2**62))).otherwise(F.col("comp"))
     groups = stored(
-        sized.groupBy("tok", F.struct("class", side.alias("side"), chunk.alias("chunk")).alias("g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list("m").alias("m")), "groups"
+        sized.groupBy("tok", F.struct("class", side.alias("side"), chunk.alias("chunk")).alias("g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("k").alias("k"), F.collect_list("m").alias("m")), "groups"
     )
-    a = groups.select("tok", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("m").alias("ma"))
-    b = groups.select("tok", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("m").alias("mb"))
+    # the groups under a token are dealt by class and, where there are very many, to further shares of SHARE groups
+    shares = F.greatest(F.lit(1), F.ceil(F.col("k") / (GROUP * SHARE))).cast("long")
+    a = groups.select("tok", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("m").alias("ma"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    a = a.withColumn("class", F.explode(F.array(F.col("ga.class"), F.col("ga.class") + 1)))
+    b = groups.select("tok", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("m").alias("mb"), F.pmod(F.xxhash64("g"), shares).alias("share"), F.col("g.class").alias("class"))
     one = (F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))
-    met = a.join(b, "tok").where((F.col("ga") <= F.col("gb")) & (F.col("gb.class") - F.col("ga.class") <= 1) & ~one)
+    met = a.join(b, ["tok", "class", "share"]).where((F.col("ga") <= F.col("gb")) & ~one)
 
     def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield _pairs_batch([p for s, x, y in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True) for p in _open(x.as_py(), y.as_py(), s, percent)])
+            (at, m), (bt, w) = _members(part.column(1)), _members(part.column(2))
+            out: list[tuple[int, int]] = []
+            for k, same in enumerate(part.column(0).to_pylist()):
+                i, j = np.arange(at[k], at[k + 1]), np.arange(bt[k], bt[k + 1])
+                found = _open(m, i, w, j, percent)
+                out += [p for p in found if p[0] < p[1]] if same else found
+            out = list(dict.fromkeys(out))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return small.union(met.select((F.col("ga") == F.col("gb")).alias("same"), "ma", "mb").mapInArrow(across, "a long, b long"))
+    return small.union(met.select((F.col("ga") == F.col("gb")).alias("same"), "ma", "mb").mapInArrow(across, "a long, b long")), [rows, counts, mixed, groups]
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -354,16 +450,26 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     full = sketch.where("n > 0 and doc_id is not null")
     once = full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "keys", "prefix", "cols", "fine", "odd")])
     nodes = stored(once, "nodes")
-    star = _links(docs, _starred(nodes, None, 0, percent), nodes, k, percent, "star")
-    comps = components(star)
-    for turn in range(1, TURNS):
-        star = star.union(_links(docs, _starred(nodes, comps, turn, percent), nodes, k, percent, "star"))
-        comps = components(star)
-    more = _links(docs, _grouped(nodes, comps, percent), nodes, k, percent, "group")
+    comps = star = None
+    for turn in range(TURNS):
+        now = _labelled(nodes, comps)
+        found = _links(docs, _starred(now, turn), now, k, percent, "star")
+        star, before = (found if star is None else star.union(found)), comps
+        comps = components(star, steps=2)
+        if before is not None:
+            discard(before)
+        if found.count() * FEW < nodes.count():
+            break
+    now = stored(_labelled(nodes, comps), "labelled")
+    pairs, read = _grouped(now, percent)
+    more = _links(docs, pairs, now, k, percent, "group")
+    discard(comps, now, *read)
     # equal sets, and rows that share an id, are links too
     copies = full.select("doc_id", "c").join(nodes.select("c", F.col("doc_id").alias("first")), "c").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    final = components(star.union(more).union(copies))
-    return sketch.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final.toDF("doc_id", "component_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    final = components(star.union(more).union(copies)).toDF("id", "component_id")
+    discard(nodes)
+    out = sketch.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(broadcast_if_small(final, final.count()), F.col("doc_id") == F.col("id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
