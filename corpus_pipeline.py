@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate as clean
 from millrace.llm import ngram_join, packing, pii, quality_ordinal
-from millrace.llm.common import stored
+from millrace.llm.common import discard, stored
+
+#: Spark setting with the secret key of the pseudonyms.
+KEY_SETTING = "spark.millrace.pii.key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with keyed pseudonyms for personal data."""
-    return pii.pseudonymise(docs)
+    """The same documents with keyed pseudonyms for personal data. The session's KEY_SETTING names the key."""
+    return pii.pseudonymise(docs, spark.conf.get(KEY_SETTING, pii.DEMO_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
