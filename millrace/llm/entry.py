@@ -53,6 +53,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def base_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base rules of op8_quality_rules alone, which SQL can express."""
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), [])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
+        "base_text_stats": base_text_stats,
         "op9_html_extraction": op9_html_extraction,
         "op10_chat_format": op10_chat_format,
         "pipeline": pipeline,

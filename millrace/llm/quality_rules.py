@@ -11,6 +11,7 @@ only, the list is empty and rejects nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,14 +81,12 @@ def stats_of(text: str | None) -> tuple[int, ...]:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + WINDOW, -1)
             repeat = int((np.cumsum(edge)[:n] > 0).sum())
-    upper = letters = 0
     if text.isascii():
         counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)
         upper, letters = int(counts[65:91].sum()), int(counts[65:91].sum() + counts[97:123].sum())
     else:
-        low = text.lower()
-        upper = sum(1 for a, b in zip(text, low, strict=False) if a != b)
-        letters = len(text) - spaces
+        chars = Counter(text)
+        upper, letters = sum(k for c, k in chars.items() if c.isupper()), sum(k for c, k in chars.items() if c.isalpha())
     marked = sum(1 for w in words if not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:?!'\")")
     return (n, len(text) - spaces, symbols, dup, repeat, lines, upper, letters, len(ids), marked)
 

@@ -421,18 +421,11 @@ def test_wrapper_extracts(spark, lay):
 
 def test_wrapper_is_union_free():
     w = html_wrapper.infer([_page(k, 3 + k, 0) for k in range(4)])
-    flat: list = []
-
-    def walk(items):
-        for t in items:
-            if isinstance(t, html_wrapper.Group):
-                flat.append("+" if t.plus else "?")
-                walk(t.items)
-            else:
-                flat.append(t.kind)
-
-    walk(w)
-    assert "+" in flat and "slot" in flat and html_wrapper.content_path(w)[-1] == "article"
+    said = html_wrapper.expression(w)
+    assert "(<p>slot</p>)+" in said and "<h1>slot</h1>" in said and "|" not in said
+    assert html_wrapper.content(w)[0] == ["html\nbody\narticle"]
+    some = html_wrapper.infer(["<div class=a><p>x 1</p><p>x 2</p></div>", "<div class=a><h2>h</h2><p>y</p></div>", "<div class=a><p>z</p></div>"])
+    assert html_wrapper.expression(some) == "<#root><div a>(<h2>'" + html_wrapper._digest(["h"]) + "'</h2>)?(<p>slot</p>)+</div></#root>"
 
 
 def test_html_edges(spark):
@@ -539,10 +532,12 @@ def test_content_after_many_tokens(spark):
 
 def test_wrappers_are_kept_whole():
     w = html_wrapper.infer([_page(k, 3 + k, 0) for k in range(4)])
-    assert html_wrapper.content_path(html_wrapper.unpacked(html_wrapper.packed(w))) == html_wrapper.content_path(w)
-    far = [html_wrapper.Tok("open", f"i {k}") if s == 0 else html_wrapper.Tok("close", "i") for k in range(100) for s in (0, 1)]
-    end = [html_wrapper.Tok("open", "b"), html_wrapper.Tok("close", "b")]
-    assert html_wrapper.merge(far + end, end)[-2:] == end
+    again = html_wrapper.unpacked(html_wrapper.packed(w))
+    assert html_wrapper.content(again) == html_wrapper.content(w) and html_wrapper.expression(again) == html_wrapper.expression(w)
+    far = [html_wrapper.Group(f"ul {k}") for k in range(100)]
+    end = [html_wrapper.Group("dl")]
+    got = html_wrapper._aligned(far + end, end, False)
+    assert [(g.value, g.kind) for g in got] == [(f"ul {k}", "?") for k in range(100)] + [("dl", "")]
 
 
 def test_toxic_vocabulary_is_whole(spark, monkeypatch):
