@@ -80,9 +80,13 @@ def quality_view(text: Column) -> Column:
 
 def passes_quality(text: Column, max_symbol_share: float = 0.1, min_words: int = 20) -> Column:
     """Enough words, few symbols, no emoji; false for text without content."""
-    view = quality_view(text)
-    symbols = F.length(F.regexp_replace(view, rf"[\p{{L}}\p{{N}}{WS}]", ""))
-    return (F.length(view) > 0) & (F.size(F.split(view, " ")) >= min_words) & (symbols <= F.lit(max_symbol_share) * F.length(view)) & ~view.rlike(EMOJI)
+
+    def passes(view: Column) -> Column:
+        symbols = F.length(F.regexp_replace(view, rf"[\p{{L}}\p{{N}}{WS}]", ""))
+        return (F.length(view) > 0) & (F.size(F.split(view, " ")) >= min_words) & (symbols <= F.lit(max_symbol_share) * F.length(view)) & ~view.rlike(EMOJI)
+
+    # the view is bound to a variable: as an expression it would be made anew for every test
+    return F.get(F.transform(F.array(quality_view(text)), passes), F.lit(0))
 
 
 def _first(content: Column, tries: list[tuple[str, int]]) -> Column:
@@ -131,14 +135,13 @@ def answer(text: Column) -> Column:
     return strip(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
 
 
+#: The marks of structured and of conversational documents, and the length of long ones.
+STRUCTURED, CONVERSATIONAL, LONG = "```|#|import|function|class|接口|API", r"用户|客户|客服|咨询|\?|？|：", 5000
+
+
 def route(text: Column) -> Column:
     """How a document is to be split: structure, hierarchical, semantic or recursive."""
-    return (
-        F.when(text.rlike("```|#|import|function|class|接口|API"), "structure")
-        .when(F.length(text) > 5000, "hierarchical")
-        .when(text.rlike(r"用户|客户|客服|咨询|\?|？|："), "semantic")
-        .otherwise("recursive")
-    )
+    return F.when(text.rlike(STRUCTURED), "structure").when(F.length(text) > LONG, "hierarchical").when(text.rlike(CONVERSATIONAL), "semantic").otherwise("recursive")
 
 
 SENTENCE_END = "[。！？]"
@@ -179,6 +182,9 @@ def structure(text: Column) -> Column:
     )
 
 
+# fixed values: the marks and scores of the three response scores
+
+
 def coherence(text: Column) -> Column:
     linked = text.contains("however") | text.contains("therefore") | text.contains("furthermore")
     return F.when(F.length(text) < 20, 0.3).when(linked, 0.9).otherwise(0.7)

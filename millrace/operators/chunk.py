@@ -20,10 +20,14 @@ from millrace.operators import models
 #: The separators of the two recursive chunkers, in order of preference.
 SEPARATORS = ["\n\n", "\n", "。", "；", "，", "？", "！"]
 PACK_SEPARATORS = ["\n\n", "\n", "。", "；", "？", "！", "，"]
+#: What begins a section, of headings, of headings and code, and what calls for the latter.
 STRUCTURE = r"(?:#{1,4} |\*\*|- |1\. )"
 HEADING_OR_CODE = r"(?:#{1,6}|={3,}|-{3,}|[ \t]*(?:```|~~~|代码示例|import|def|function))"
 
 
+CODE_LIKE = "#{1,6}|import|function"
+
+
 def exploded(docs: DataFrame, chunks: Column, key: str = "doc_id") -> DataFrame:
     """(key, chunk number from 0, chunk)."""
     return docs.select(key, F.posexplode(chunks).alias("ord", "chunk")).withColumn("ord", F.col("ord").cast("bigint"))
@@ -218,7 +222,7 @@ def hierarchical(text: str, size: int = 512) -> list[str]:
 
     out = []
     for wide in fixed_list(text, 2 * size, max(1, int(2 * size * 0.9))):
-        out += code_sections(wide, size) if re.search(r"```|#|import|function|class|def ", wide) else pack(wide, size=size)
+        out += code_sections(wide, size) if re.search(CODE_LIKE, wide) else pack(wide, size=size)
     return out
 
 
@@ -226,11 +230,11 @@ def hybrid(text: str, size: int = 512) -> list[str]:
     """The chunker that the text's kind asks for."""
     import re
 
-    if re.search(r"```|#|import|function|class|接口|API", text):
+    if re.search(X.STRUCTURED, text):
         return code_sections(text, size)
-    if len(text) > 5000:
+    if len(text) > X.LONG:
         return hierarchical(text, size)
-    if re.search(r"用户|客户|客服|咨询|\?|？|：", text):
+    if re.search(X.CONVERSATIONAL, text):
         return semantic_loose(text, size=size)
     return pack(text, size=size)
 
@@ -316,7 +320,7 @@ def flat_chunks(nodes: DataFrame, levels: tuple[str, ...] = ("paragraph", "seman
 
 
 def enriched(chunks: DataFrame, key: str = "doc_id", shortest: int = 20) -> DataFrame:
-    """Chunks (key, ord, chunk) of some length with a summary, keywords and links to the neighbours that are left."""
+    """Chunks (key, ord, chunk) of some length with a summary and links to the neighbours that are left; `optimised` adds the rest."""
     from pyspark.sql import Window
 
     clean = X.strip(X.squeeze(F.col("chunk")))
@@ -346,3 +350,34 @@ def select_metadata(items: list[tuple[str, str, float]], text_length: int, core:
         out[k] = v
         used += len(v) if used > budget else 0
     return out
+
+
+def optimised(chunks: DataFrame, core: Column, extended: Column, given: Column | None = None, key: str = "doc_id", embed: Callable[[str], np.ndarray] = models.embed) -> DataFrame:
+    """`enriched` with keywords, the metadata that fits the chunk and its budget, relations and the embedding.
+
+    chunks: key, ord, chunk and the columns that core and extended (arrays of (key, value)) and given (an array of
+    keywords) are made of. Core items come first; only they stand in where nothing is relevant.
+    """
+    from millrace.operators.vector import top_terms
+
+    made = enriched(chunks.select(key, "ord", "chunk"), key)
+    none = F.array().cast("array<string>")
+    told = chunks.select(F.col(key).alias("__key"), F.col("ord").alias("__ord"), core.alias("core"), extended.alias("extended"), F.coalesce(given if given is not None else none, none).alias("given"))
+    terms = top_terms(made.select(F.struct(key, "chunk_id").alias("at"), F.col("content").alias("text")), 8, "at")
+    terms = terms.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("own"))
+
+    @F.pandas_udf("metadata array<struct<key:string,value:string>>, embedding array<double>")
+    def fitting(contents: pd.Series, cores: pd.Series, others: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, c, o in zip(contents, cores, others, strict=True):
+            items = [(x["key"], x["value"]) for x in [*c, *o]]
+            scored = [(k, v, s) for (k, v), s in zip(items, models.relevances(t, items, embed), strict=True)]
+            out.append(([{"key": k, "value": v} for k, v in select_metadata(scored, len(t), min(2, len(c))).items()], np.asarray(embed(t), float).tolist()))
+        return pd.DataFrame(out, columns=["metadata", "embedding"])
+
+    both = made.join(told, (F.col(key) == F.col("__key")) & (F.col("chunk_id") == F.col("__ord"))).join(terms, (F.col("at")[key] == F.col(key)) & (F.col("at.chunk_id") == F.col("chunk_id")), "left")
+    link = lambda kind, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(kind).alias("type"), F.col(c).alias("chunk_id")))
+    return both.withColumn("fit", fitting("content", "core", "extended")).select(
+        key, "chunk_id", "content", "summary", F.map_from_entries("fit.metadata").alias("metadata"), F.array_union(F.coalesce("own", none), "given").alias("keywords"),
+        F.array_compact(F.array(link("previous", "previous"), link("next", "next"))).alias("relations"), F.col("fit.embedding").alias("embedding"),
+    )

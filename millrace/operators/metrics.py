@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators.ordering import preceded
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -53,18 +56,14 @@ def bleu(pairs: DataFrame, candidate: str = "candidate", reference: str = "refer
 
     Zero where a side is empty or no single word matches.
     """
-    rows = pairs.select(key, X.words(F.col(candidate)).alias("c"), X.words(F.col(reference)).alias("r"))
-
-    def matches(n: int) -> Column:
-        def clipped(cs: Column, rs: Column) -> Column:
-            count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-            return F.aggregate(F.array_distinct(cs), F.lit(0), lambda s, g: s + F.least(count(cs, g), count(rs, g)))
-
-        both = F.array(F.struct(ngrams(F.col("c"), n).alias("a"), ngrams(F.col("r"), n).alias("b")))
-        return F.get(F.transform(both, lambda x: clipped(x["a"], x["b"])), F.lit(0))
+    @F.pandas_udf("array<int>")
+    def matches(cs: pd.Series, rs: pd.Series) -> pd.Series:
+        grams = lambda ws, n: Counter(zip(*(ws[k:] for k in range(n)), strict=False))
+        return pd.Series([[sum((grams(c, n) & grams(r, n)).values()) for n in range(1, most + 1)] for c, r in ((list(c), list(r)) for c, r in zip(cs, rs, strict=True))])
 
+    rows = pairs.select(key, X.words(F.col(candidate)).alias("c"), X.words(F.col(reference)).alias("r")).withColumn("m", matches("c", "r"))
     for n in range(1, most + 1):
-        rows = rows.withColumn(f"m{n}", matches(n)).withColumn(f"t{n}", F.greatest(F.lit(1), F.size("c") - n + 1))
+        rows = rows.withColumn(f"m{n}", F.get("m", F.lit(n - 1))).withColumn(f"t{n}", F.greatest(F.lit(1), F.size("c") - n + 1))
     logs = [F.log(F.when(F.col(f"m{n}") > 0, F.col(f"m{n}") / F.col(f"t{n}")).otherwise(F.lit(0.1) / F.col(f"t{n}"))) for n in range(1, most + 1)]
     brevity = F.when(F.size("c") >= F.size("r"), F.lit(1.0)).otherwise(F.exp(1 - F.size("r") / F.greatest(F.lit(1), F.size("c"))))
     value = F.when((F.size("c") == 0) | (F.size("r") == 0) | (F.col("m1") == 0), F.lit(0.0)).otherwise(brevity * F.exp(sum(logs[1:], logs[0]) / most))
@@ -117,6 +116,34 @@ def group_advantages(rewards: DataFrame, group: str, reward: str = "reward", sca
     return rewards.withColumn("advantage", centred / (F.coalesce(F.stddev_samp(r).over(w), F.lit(0.0)) + epsilon) if scale else centred)
 
 
+def token_advantages(rewards: DataFrame, group: str, width: int, reward: str = "reward") -> DataFrame:
+    """rewards with `advantages`: (reward - mean) / sample deviation within the group, once for each of `width` tokens; 0 where all are equal."""
+    w = Window.partitionBy(group)
+    r = F.nanvl(F.col(reward), F.lit(0.0))
+    z = F.coalesce(F.try_divide(r - F.avg(r).over(w), F.nullif(F.stddev_samp(r).over(w), F.lit(0.0))), F.lit(0.0))
+    return rewards.withColumn("advantages", F.array_repeat(z, width))
+
+
+def return_advantages(samples: DataFrame, group: str, member: str, gamma: float, rewards: str = "rewards") -> DataFrame:
+    """(group, member, t, advantage): the discounted return at each token, less the group's mean at that token, over its sample deviation."""
+    each = samples.select(group, member, F.posexplode(discounted(F.col(rewards), gamma)).alias("t", "ret"))
+    w = Window.partitionBy(group, "t")
+    z = F.try_divide(F.col("ret") - F.avg("ret").over(w), F.nullif(F.stddev_samp("ret").over(w), F.lit(0.0)))
+    return each.select(group, member, "t", F.coalesce(z, F.lit(0.0)).alias("advantage"))
+
+
+def sequence_logprob(steps: DataFrame, sequence: str = "seq", logprob: str = "logprob", mask: str = "mask") -> DataFrame:
+    """(sequence, logprob): the masked sum of the steps' log-probabilities."""
+    return steps.groupBy(sequence).agg(F.sum(F.col(logprob) * F.col(mask)).alias("logprob"))
+
+
+def response_logprobs(logprobs: Column, masks: Column, query_length: Column | int) -> Column:
+    """The log-probabilities of the tokens after the query, zero where masked. Arrays over query and response."""
+    at = F.lit(query_length) if isinstance(query_length, int) else query_length
+    rest = lambda a: F.slice(a, at + 1, F.greatest(F.lit(0), F.size(a) - at))
+    return F.zip_with(rest(logprobs), rest(masks), lambda p, m: p * m)
+
+
 def discounted(rewards: Column, gamma: float) -> Column:
     """Returns of an array of rewards: r_t + gamma * what follows."""
     back = F.aggregate(F.reverse(rewards), F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("next")), lambda s, r: F.struct(F.concat(F.array(r + gamma * s["next"]), s["out"]).alias("out"), (r + gamma * s["next"]).alias("next")))
@@ -250,8 +277,8 @@ def joined_bigram_diversity(texts: DataFrame, order: str, text: str = "text") ->
     ws = texts.select(order, X.words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
     one = ws.select(F.explode("ws").alias("g")).groupBy("g").agg(F.count("*").alias("c")).agg((F.count("*") / F.sum("c")).alias("distinct_1"))
     inner = ws.select(F.explode(ngrams(F.col("ws"), 2)).alias("g"))
-    last = F.lag(F.element_at("ws", -1)).over(Window.orderBy(order))
-    border = ws.select(F.array(last, F.get("ws", F.lit(0))).alias("g"), last.alias("l")).where(F.col("l").isNotNull()).select("g")
+    ends = ws.select(order, F.get("ws", F.lit(0)).alias("first"), F.element_at("ws", -1).alias("last"))
+    border = preceded(ends, order, "last", "before").where(F.col("before").isNotNull()).select(F.array("before", "first").alias("g"))
     two = inner.union(border).groupBy("g").agg(F.count("*").alias("c")).agg((F.count("*") / F.sum("c")).alias("distinct_2"))
     return one.join(F.broadcast(two), how="full")  # one row each
 

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,5 +50,39 @@ def names(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\p{Lu}\p{L}{1,8})\b"), F.lit(1)))
 
 
+def word_class(word: Column) -> Column:
+    """A noun (n), verb (v) or adjective (a) by the word's ending, x for words of one or two letters."""
+    return F.when(F.length(word) < 3, "x").when(word.rlike("(?:ing|ed|ize|ate)$"), "v").when(word.rlike("(?:ous|ful|ive|al)$"), "a").otherwise("n")
+
+
+def corrected(text: Column, model: Callable[[str], str]) -> Column:
+    """A corrector's answer to every text that is not null."""
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: None if t is None else model(t))
+
+    return run(text)
+
+
+def metadata_relevance(content: Column, items: Column, model: Callable[[str], np.ndarray] = embed) -> Column:
+    """The cosine of a content's vector and that of "key: value", for each item of an array of (key, value)."""
+
+    @F.pandas_udf("array<double>")
+    def run(contents: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([relevances(t or "", [(i["key"], i["value"]) for i in found], model) for t, found in zip(contents, lists, strict=True)])
+
+    return run(content, items)
+
+
+def relevances(content: str, items: list[tuple[str, str]], model: Callable[[str], np.ndarray] = embed) -> list[float]:
+    def cosine(a: np.ndarray, b: np.ndarray) -> float:
+        size = float(np.linalg.norm(a) * np.linalg.norm(b))
+        return float(a @ b) / size if size else 0.0
+
+    own = np.asarray(model(content), float)
+    return [cosine(own, np.asarray(model(f"{k}: {v}"), float)) for k, v in items]
+
+
 def echo(prompt: str) -> str:
     return prompt

@@ -9,10 +9,11 @@ from heapq import nsmallest
 from math import exp, log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators.ordering import numbered
 from millrace.storage import discard, stored
 
 #: Pair counts that the driver holds after a count of all; rarer pairs are counted anew if their turn can come.
@@ -40,9 +41,9 @@ def characters(text: Column) -> Column:
 
 
 def vocabulary(tokens: DataFrame, specials: tuple[str, ...] = ("<pad>", "<unk>"), token: str = "token") -> DataFrame:
-    """(token, id): the special tokens first, then all others in order. One window over the distinct tokens."""
+    """(token, id): the special tokens first, then all others in order, numbered range by range."""
     got = tokens.select(F.col(token).alias("token")).where(~F.col("token").isin(*specials)).distinct()
-    ids = got.withColumn("id", F.row_number().over(Window.orderBy("token")) + len(specials) - 1)
+    ids = numbered(got, "token", "id", len(specials)).withColumn("id", F.col("id").cast("int"))
     first = tokens.sparkSession.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")
     return first.unionByName(ids)
 

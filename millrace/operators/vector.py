@@ -6,14 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.storage import stored
+from millrace.storage import discard, stored
 
 #: Queries up to which one batch of them is sent to every task; more are searched batch by batch.
 QUERY_BATCH = 2_000
+#: Differences that are held at once.
+BLOCK_VALUES = 20_000_000
+#: Parts of a vector table, by a hash of the document's id; an update rewrites the parts of its documents alone.
+BUCKETS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,7 +68,8 @@ def _batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, m
                 x = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
                 s = m @ x.T
             else:
-                s = -np.sqrt(np.maximum(((m[:, None] - x[None]) ** 2).sum(-1), 0)) if len(m) * len(x) * x.shape[1] < 5e7 else -np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ x.T + (x**2).sum(1)[None], 0))
+                step = max(1, BLOCK_VALUES // x.size)  # the differences themselves, in blocks: the same at every size
+                s = -np.concatenate([np.sqrt(((m[a : a + step, None] - x[None]) ** 2).sum(-1)) for a in range(0, len(m), step)])
             rows = [pd.DataFrame({"query": q, "v": part["v"].to_numpy(), "score": r}).nlargest(k, "score", keep="all") for q, r in zip(ids, s, strict=True)]
             both = pd.concat([kept, *rows]) if kept is not None else pd.concat(rows)
             kept = both.sort_values(["query", "score", "v"], ascending=[True, False, True]).groupby("query").head(k)
@@ -150,21 +156,63 @@ def _search_batch(index: tuple[np.ndarray, DataFrame], queries: list[tuple[int,
 # -- vector table ------------------------------------------------------------------------------------------------------
 
 
-def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """Rows of the vector table out of (document_id, chunk_id, content, summary, keywords): the text that is embedded, the text that is stored."""
+def overridden(base: Column, custom: Column) -> Column:
+    """A map with all entries of `custom`, and those of `base` whose keys are not among them."""
+    return F.map_from_entries(F.concat(F.filter(F.map_entries(base), lambda e: ~F.map_contains_key(custom, e["key"])), F.map_entries(custom)))
+
+
+def chunk_rows(chunks: DataFrame, metadata: Column | None = None) -> DataFrame:
+    """Rows of the vector table out of (document_id, chunk_id, content, summary, keywords): the text that is embedded, the text that is stored.
+
+    metadata: a map of the document's own; it wins over what is known of the chunk.
+    """
     to_embed = F.concat_ws(" | ", "summary", F.array_join("keywords", " "), F.substring("content", 1, 200))
-    return chunks.where(F.length("content") > 0).select("document_id", "chunk_id", to_embed.alias("embed_text"), F.substring("content", 1, 1000).alias("document"), F.to_json("keywords").alias("keywords"))
+    rows = chunks.where(F.length("content") > 0)
+    own = [F.to_json("keywords").alias("keywords")]
+    if metadata is not None:
+        known = {c: F.col(c).cast("string") for c in ("document_id", "chunk_id", "level", "parent_id", "timestamp") if c in chunks.columns} | {c: F.to_json(c) for c in ("keywords", "entities") if c in chunks.columns}
+        own.append(overridden(F.create_map(*[x for c, v in known.items() for x in (F.lit(c), v)]), metadata).alias("metadata"))
+    return rows.select("document_id", "chunk_id", to_embed.alias("embed_text"), F.substring("content", 1, 1000).alias("document"), *own)
+
+
+def document_metadata(rows: DataFrame) -> DataFrame:
+    """(document_id, metadata): the metadata of each document's first chunk."""
+    return rows.groupBy("document_id").agg(F.min_by("metadata", "chunk_id").alias("metadata"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _rewrite(spark: SparkSession, path: str, ids: DataFrame, new: DataFrame | None) -> None:
+    """Replace the rows of some documents: what stays in their buckets is written aside first, then these buckets anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        if new is not None:
+            new.withColumn("bucket", _bucket()).write.partitionBy("bucket").parquet(path)
+        return
+    touched = {r[0] for r in ids.select(_bucket()).distinct().collect()}  # BUCKETS numbers at most
+    old = spark.read.parquet(path).where(F.col("bucket").isin(*touched)).join(ids.select("document_id").distinct(), "document_id", "left_anti")
+    made = stored(old if new is None else old.unionByName(new.withColumn("bucket", _bucket()), allowMissingColumns=True), "vector-table")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in touched - {r[0] for r in made.select("bucket").distinct().collect()}:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"), True)
+    discard(made)
 
 
 def upsert(rows: DataFrame, path: str) -> None:
-    """Replace the documents in rows, keep the others: the table is partitioned by document_id and only those partitions are rewritten."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    """Replace the documents in rows, keep the others."""
+    new = stored(rows, "vector-new")
+    _rewrite(rows.sparkSession, path, new, new)
+    discard(new)
 
 
 def delete(rows: DataFrame, path: str, ids: list) -> int:
     """Rewrite a table without some documents; the number of rows that went."""
     gone = rows.where(F.col("document_id").isin(ids)).count()
-    stored(rows.where(~F.col("document_id").isin(ids)), "vector-table").write.mode("overwrite").partitionBy("document_id").parquet(path)
+    of = T.StructType([T.StructField("document_id", rows.schema["document_id"].dataType)])
+    _rewrite(rows.sparkSession, path, rows.sparkSession.createDataFrame([(i,) for i in ids], of), None)
     return gone
 
 
@@ -188,6 +236,26 @@ def top_terms(docs: DataFrame, most: int = 8, key: str = "doc_id", text: str = "
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def frequent_words(docs: DataFrame, classes: tuple[str, ...], most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, n, rank): the most frequent words of some classes; of equally frequent ones the first in the text."""
+    from millrace.operators.models import word_class
+
+    words = docs.select(key, F.posexplode(F.split(X.normalise(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("at", "term")).where(word_class(F.col("term")).isin(*classes))
+    counts = words.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    w = Window.partitionBy(key).orderBy(F.desc("n"), "at")
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("at")
+
+
+def class_keywords(docs: DataFrame, most: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Nouns, verbs and adjectives: twice as many as asked for."""
+    return frequent_words(docs, ("n", "v", "a"), 2 * most, key, text)
+
+
+def short_keywords(docs: DataFrame, most: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Nouns alone, for short texts."""
+    return frequent_words(docs, ("n",), most, key, text)
+
+
 def fuse(sets: DataFrame, most: int = 8, key: str = "doc_id") -> DataFrame:
     """(key, term, score): sets (key, set number, terms in order) fused by position, half a point a place from the end.
 

@@ -127,6 +127,14 @@ def enriched_chunks(spark, sf_dir):
     return C.enriched(C.exploded(_docs(spark, sf_dir), C.fixed(F.col("text"))))
 
 
+@query("optimised_chunks")
+def optimised_chunks(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    chunks = docs.select("doc_id", "lang", "source", F.posexplode(C.fixed(F.col("text"))).alias("ord", "chunk")).withColumn("ord", F.col("ord").cast("bigint"))
+    item = lambda c: F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
+    return C.optimised(chunks, F.array(item("source")), F.array(item("lang")), F.array("lang")).drop("embedding")
+
+
 def _shingles_sql(n: int, column: str, last: str) -> str:
     return rf"""SELECT doc_id, i - 1 AS ord, {last} AS {column} FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n} + 2)) AS i FROM (
       SELECT doc_id, string_split(trim(regexp_replace(text, '[{X.WS}]+', ' ', 'g')), ' ') AS ws FROM documents) WHERE len(ws) >= {n})"""

@@ -114,7 +114,18 @@ for _t in (85, 70):
         return D.jaccard_dedup(_docs(spark, sf_dir), t / 100)
 
 
-@query("two_stage_dedup")
+_FIRST_STAGE = greedy_sql(f"WITH {_SIM}, {_SIM_ONCE},", "SELECT v FROM so", _SIM_EDGES.replace("{0}", "3"), "doc_id")
+
+
+@query(
+    "two_stage_dedup",
+    greedy_sql(
+        f"WITH left_over AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN ({_FIRST_STAGE})), {_SETS.replace('FROM documents', 'FROM left_over')},",
+        _JACCARD_IDS.replace("FROM documents", "FROM left_over"),
+        "SELECT i, j FROM jp WHERE similarity >= 0.85",
+        "doc_id",
+    ),
+)
 def two_stage_dedup(spark, sf_dir):
     return D.two_stage(_docs(spark, sf_dir), bits=3)
 
@@ -134,11 +145,24 @@ def minhash_bands(spark, sf_dir):
     return D.minhash_bands(_docs(spark, sf_dir))
 
 
-@query("minhash_dedup")
+_SIGNED = f"""ms AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM (SELECT doc_id, {_words('text')} AS ws FROM documents) WHERE len(ws) >= 3)),
+  mm AS MATERIALIZED (SELECT doc_id, [{', '.join(f's{k}' for k in range(120))}] AS sig FROM (SELECT doc_id, {_SLOTS} FROM (SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT % 2147483647 AS h FROM ms) GROUP BY doc_id)),
+  mo AS MATERIALIZED (SELECT sig, min(doc_id) AS v FROM mm GROUP BY sig),
+  mb AS MATERIALIZED (SELECT v, sig, b, sig[12 * b + 1 : 12 * b + 12] AS cell FROM mo, range(10) r(b)),
+  mp AS MATERIALIZED (SELECT DISTINCT x.v AS i, y.v AS j, x.sig AS sa, y.sig AS sb FROM mb x JOIN mb y ON x.b = y.b AND x.cell = y.cell AND x.v < y.v)"""
+_SIGNED_IDS = "SELECT doc_id AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM mm WHERE doc_id NOT IN (SELECT v FROM mo))"
+
+
+@query("minhash_dedup", greedy_sql(f"WITH {_SIGNED},", _SIGNED_IDS, "SELECT i, j FROM mp WHERE len(list_filter(range(1, 121), lambda k: sa[k] = sb[k])) >= 96", "doc_id"))
 def minhash_dedup(spark, sf_dir):
     return D.minhash_dedup(_docs(spark, sf_dir))
 
 
+@query("minhash_cosine_dedup", greedy_sql(f"WITH {_SIGNED},", _SIGNED_IDS, "SELECT i, j FROM mp WHERE list_cosine_similarity(sa::DOUBLE[], sb::DOUBLE[]) > 0.8", "doc_id"))
+def minhash_cosine_dedup(spark, sf_dir):
+    return D.minhash_dedup(_docs(spark, sf_dir), measure="cosine")
+
+
 @query("minhash_lsh_join")
 def minhash_lsh_join(spark, sf_dir):
     return D.lsh_join(_docs(spark, sf_dir), 0.3)

@@ -89,7 +89,7 @@ def _attention_sql(heads: int, causal: bool, group: int) -> str:
       x AS (SELECT seq, head, pos, e, v, unnest(range(1, 9)) AS i FROM s) SELECT seq, head, pos, CAST(i - 1 AS INTEGER) AS d, round(sum(e * v[i]) / sum(e), 6) + 0.0 AS value FROM x GROUP BY seq, head, pos, i"""
 
 
-for _name, _heads_n, _causal, _group in (("self_attention", 1, False, 1), ("multi_head_attention", 2, False, 1), ("grouped_attention", 2, False, 2), ("causal_attention", 1, True, 1)):
+for _name, _heads_n, _causal, _group in (("self_attention", 1, False, 1), ("multi_head_attention", 2, False, 1), ("grouped_attention", 2, False, 2), ("causal_attention", 1, True, 1), ("multi_query_attention", 4, False, 4)):
 
     @query(_name, _attention_sql(_heads_n, _causal, _group))
     def attention(spark, sf_dir, heads=_heads_n, causal=_causal, group=_group):

@@ -8,7 +8,7 @@ from millrace.functions import text as X
 from millrace.operators import metrics as M
 from millrace.plans.catalog import query, table
 from millrace.plans.dedup_queries import _words
-from millrace.plans.text_queries import _TAGGED, _TAGGED_WHOLE, _strip, tagged
+from millrace.plans.text_queries import _TAGGED, _strip, tagged
 
 _NGRAMS = f"SELECT n, array_to_string(ws[i : i + n - 1], chr(1)) AS g FROM (SELECT n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT {_words('text')} AS ws FROM conversations), range(1, 5) r(n) WHERE len(ws) >= n)"
 
@@ -65,17 +65,13 @@ def sequence_perplexity(spark, sf_dir):
     return _rounded(M.sequence_perplexity(_events(spark, sf_dir).where((F.col("t") < 6))))
 
 
-_PAIR = "(SELECT a.conv_id * 1000 + a.turn AS id, a.text AS candidate, concat(substr(a.text, 1, 60), ' ', b.text) AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_PAIR = "(SELECT a.conv_id * 1000 + a.turn AS id, a.text AS candidate, concat(a.text, ' ', b.text) AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
-_PAIR_WHOLE = _PAIR.replace("substr(a.text, 1, 60)", "a.text")
-
-
-def _pairs(spark, sf_dir, whole=False):
-    own = F.col("text") if whole else F.substring("text", 1, 60)
+def _pairs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return c.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("candidate"), F.concat(own, F.lit(" "), "next").alias("reference"))
+    return c.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("candidate"), F.concat("text", F.lit(" "), "next").alias("reference"))
 
 
 def _bleu_sql(pair: str = _PAIR) -> str:
@@ -93,22 +89,20 @@ def bleu4(spark, sf_dir):
     return _rounded(M.bleu(_pairs(spark, sf_dir)), "bleu")
 
 
-@query("bleu4_whole", _bleu_sql(_PAIR_WHOLE))
-def bleu4_whole(spark, sf_dir):
-    return _rounded(M.bleu(_pairs(spark, sf_dir, whole=True)), "bleu")
-
+_METEOR = f"""WITH p AS (SELECT id, {_words('lower(candidate)')} AS c, {_words('lower(reference)')} AS r FROM {_PAIR}),
+  c AS (SELECT id, w, i, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(c) AS w, generate_subscripts(c, 1) AS i FROM p)),
+  r AS (SELECT id, w, i AS j, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM p)),
+  m AS (SELECT id, i, j, lag(i) OVER q AS pi, lag(j) OVER q AS pj FROM c JOIN r USING (id, w, k) WINDOW q AS (PARTITION BY id ORDER BY i)),
+  n AS (SELECT id, count(*) AS hits, count(*) FILTER (pi IS NULL OR pi <> i - 1 OR pj <> j - 1) AS chunks FROM m GROUP BY id)
+  SELECT p.id, round(coalesce(10.0 * (hits / len(c)) * (hits / len(r)) / (hits / len(r) + 9.0 * (hits / len(c))) * (1 - 0.5 * power(chunks / hits, 3)), 0.0), 6) AS meteor FROM p LEFT JOIN n USING (id)"""
 
-@query("meteor_whole")
-def meteor_whole(spark, sf_dir):
-    return _pairs(spark, sf_dir, whole=True).select("id", F.round(M.meteor(F.col("candidate"), F.col("reference")), 6).alias("meteor"))
 
-
-@query("meteor")
+@query("meteor", _METEOR)
 def meteor(spark, sf_dir):
     return _pairs(spark, sf_dir).select("id", F.round(M.meteor(F.col("candidate"), F.col("reference")), 6).alias("meteor"))
 
 
-_EXPECT = _strip("substr(text, 1, 30)")
+_EXPECT = _strip("text")
 
 
 @query(
@@ -119,7 +113,7 @@ _EXPECT = _strip("substr(text, 1, 30)")
 )
 def rule_rewards(spark, sf_dir):
     t = tagged(table(spark, sf_dir, "conversations"))
-    return t.select("conv_id", "turn", M.rule_rewards(F.col("response"), X.strip(F.substring("text", 1, 30))).alias("r")).select("conv_id", "turn", "r.*")
+    return t.select("conv_id", "turn", M.rule_rewards(F.col("response"), X.strip(F.col("text"))).alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query(
@@ -134,36 +128,45 @@ def reward_rollup(spark, sf_dir):
     return r.agg(F.count("*").alias("samples"), F.round(F.avg(total), 6).alias("mean_reward"), F.round(F.avg("correctness"), 6).alias("accuracy"))
 
 
-_EXPECT_WHOLE = _strip("text")
+@query("group_advantage", f"SELECT event_id, round((reward - avg(reward) OVER w) / (coalesce(stddev_samp(reward) OVER w, 0) + 1e-4), 6) AS advantage FROM (SELECT * EXCLUDE (advantage) FROM {_EV}) WINDOW w AS (PARTITION BY event_id // 4)")
+def group_advantage(spark, sf_dir):
+    e = _events(spark, sf_dir).drop("advantage").withColumn("g", F.floor(F.col("event_id") / 4))
+    return _rounded(M.group_advantages(e, "g").select("event_id", "advantage"), "advantage")
 
 
 @query(
-    "rule_rewards_whole",
-    rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(r, '(?s)^\s*<thinking>.*?</thinking>\s*<answer>.*?</answer>\s*$') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS format,
-        CASE WHEN regexp_matches(r, '(?s)<thinking>.*?</thinking>') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS think,
-        CASE WHEN {_strip("regexp_extract(r, '(?s)<answer>(.*?)</answer>', 1)")} = {_EXPECT_WHOLE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correctness FROM (SELECT conv_id, turn, text, {_TAGGED_WHOLE} AS r FROM conversations)""",
+    "token_advantages",
+    f"""SELECT event_id, CAST(t AS INTEGER) AS t, round(coalesce((reward - avg(reward) OVER w) / nullif(stddev_samp(reward) OVER w, 0), 0), 6)::DOUBLE AS advantage
+      FROM (SELECT event_id, reward FROM {_EV}), range(3) r(t) WINDOW w AS (PARTITION BY event_id // 4, t)""",
 )
-def rule_rewards_whole(spark, sf_dir):
-    t = tagged(table(spark, sf_dir, "conversations"), whole=True)
-    return t.select("conv_id", "turn", M.rule_rewards(F.col("response"), X.strip(F.col("text"))).alias("r")).select("conv_id", "turn", "r.*")
+def token_advantages(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", "reward", F.floor(F.col("event_id") / 4).alias("g"))
+    return _rounded(M.token_advantages(e, "g", 3).select("event_id", F.posexplode("advantages").alias("t", "advantage")), "advantage")
 
 
 @query(
-    "reward_rollup_whole",
-    rf"""SELECT count(*) AS samples, round(avg(2.0 * f + t + c), 6) AS mean_reward, round(avg(c), 6) AS accuracy FROM (SELECT
-        CASE WHEN regexp_matches(r, '(?s)^\s*<thinking>.*?</thinking>\s*<answer>.*?</answer>\s*$') THEN 1.0 ELSE 0.0 END AS f, CASE WHEN regexp_matches(r, '(?s)<thinking>.*?</thinking>') THEN 1.0 ELSE 0.0 END AS t,
-        CASE WHEN {_strip("regexp_extract(r, '(?s)<answer>(.*?)</answer>', 1)")} = {_EXPECT_WHOLE} THEN 1.0 ELSE 0.0 END AS c FROM (SELECT text, {_TAGGED_WHOLE} AS r FROM conversations))""",
+    "return_advantages",
+    f"""WITH e AS (SELECT seq // 4 AS g, seq, t, reward FROM {_EV}), k AS (SELECT seq, t, reward, row_number() OVER (PARTITION BY seq ORDER BY t) - 1 AS i FROM e),
+      r AS (SELECT a.seq // 4 AS g, a.seq, a.i, sum(b.reward * power(0.9, b.i - a.i)) AS ret FROM k a JOIN k b ON a.seq = b.seq AND b.i >= a.i GROUP BY ALL)
+      SELECT g, seq, CAST(i AS INTEGER) AS t, round(coalesce((ret - avg(ret) OVER w) / nullif(round(stddev_samp(ret) OVER w, 9), 0), 0), 4) AS advantage FROM r WINDOW w AS (PARTITION BY g, i)""",
 )
-def reward_rollup_whole(spark, sf_dir):
-    r = rule_rewards_whole(spark, sf_dir)
-    total = F.col("format") + F.col("think") + F.col("correctness")
-    return r.agg(F.count("*").alias("samples"), F.round(F.avg(total), 6).alias("mean_reward"), F.round(F.avg("correctness"), 6).alias("accuracy"))
+def return_advantages(spark, sf_dir):
+    a = _arrays(spark, sf_dir).select(F.floor(F.col("seq") / 4).alias("g"), "seq", F.transform("s", lambda x: x["reward"].cast("double")).alias("rewards"))
+    got = M.return_advantages(a, "g", "seq", 0.9)
+    return got.withColumn("advantage", F.round(F.when(F.abs("advantage") > 1e3, 0.0).otherwise(F.col("advantage")), 4))
 
 
-@query("group_advantage", f"SELECT event_id, round((reward - avg(reward) OVER w) / (coalesce(stddev_samp(reward) OVER w, 0) + 1e-4), 6) AS advantage FROM (SELECT * EXCLUDE (advantage) FROM {_EV}) WINDOW w AS (PARTITION BY event_id // 4)")
-def group_advantage(spark, sf_dir):
-    e = _events(spark, sf_dir).drop("advantage").withColumn("g", F.floor(F.col("event_id") / 4))
-    return _rounded(M.group_advantages(e, "g").select("event_id", "advantage"), "advantage")
+@query("sequence_logprob", f"SELECT seq, round(sum(logprob * mask), 6)::DOUBLE AS logprob FROM {_EV} GROUP BY seq")
+def sequence_logprob(spark, sf_dir):
+    return _rounded(M.sequence_logprob(_events(spark, sf_dir)), "logprob")
+
+
+@query("response_logprobs", f"SELECT seq, CAST(i - 3 AS INTEGER) AS t, round(logprob * mask, 6)::DOUBLE + 0.0 AS logprob FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY t) - 1 AS i FROM {_EV}) WHERE i >= 3")
+def response_logprobs(spark, sf_dir):
+    s = F.array_sort(F.collect_list(F.struct("t", "logprob", "mask")))
+    e = _events(spark, sf_dir).groupBy("seq").agg(s.alias("s"))
+    got = M.response_logprobs(F.transform("s", lambda x: x["logprob"].cast("double")), F.transform("s", lambda x: x["mask"].cast("double")), 3)
+    return e.select("seq", F.posexplode(got).alias("t", "logprob")).withColumn("logprob", F.round("logprob", 6) + F.lit(0.0))
 
 
 def _arrays(spark, sf_dir):

@@ -61,14 +61,8 @@ def simplify_chars(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.simplify(F.concat("text", F.lit("優惠領取")), {"優": "优", "領": "领"}).alias("text"))
 
 
-@query("repair_encoding", "SELECT doc_id, concat('é', substr(text, 1, 40)) AS fixed, substr(text, 1, 40) AS plain FROM documents")
+@query("repair_encoding", "SELECT doc_id, concat('é', text) AS fixed, text AS plain FROM documents")
 def repair_encoding(spark, sf_dir):
-    broken = F.decode(F.encode(F.concat(F.lit("é"), F.substring("text", 1, 40)), "UTF-8"), "ISO-8859-1")
-    return _docs(spark, sf_dir).select("doc_id", X.repair_mojibake(broken).alias("fixed"), X.repair_mojibake(F.substring("text", 1, 40)).alias("plain"))
-
-
-@query("repair_encoding_whole", "SELECT doc_id, concat('é', text) AS fixed, text AS plain FROM documents")
-def repair_encoding_whole(spark, sf_dir):
     broken = F.decode(F.encode(F.concat(F.lit("é"), "text"), "UTF-8"), "ISO-8859-1")
     return _docs(spark, sf_dir).select("doc_id", X.repair_mojibake(broken).alias("fixed"), X.repair_mojibake(F.col("text")).alias("plain"))
 
@@ -212,17 +206,13 @@ def text_scan_md5(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy(F.md5("text").alias("md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-_TAGGED = "concat('<thinking>', substr(text, 1, 20), '</thinking>', CASE WHEN (conv_id + turn) % 3 > 0 THEN concat('<answer>', chr(10), ' ', substr(text, 1, 30), '</answer>') ELSE '' END)"
-
+_TAGGED = "concat('<thinking>', text, '</thinking>', CASE WHEN (conv_id + turn) % 3 > 0 THEN concat('<answer>', chr(10), ' ', text, '</answer>') ELSE '' END)"
 
-_TAGGED_WHOLE = _TAGGED.replace("substr(text, 1, 20)", "text").replace("substr(text, 1, 30)", "text")
 
-
-def tagged(conversations: DataFrame, whole: bool = False) -> DataFrame:
-    """Responses in the tagged format, made from the conversations' texts or their beginnings; every third lacks its answer."""
-    thought, answer = (F.col("text"),) * 2 if whole else (F.substring("text", 1, 20), F.substring("text", 1, 30))
-    body = F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, F.concat(F.lit("<answer>\n "), answer, F.lit("</answer>"))).otherwise("")
-    return conversations.withColumn("response", F.concat(F.lit("<thinking>"), thought, F.lit("</thinking>"), body))
+def tagged(conversations: DataFrame) -> DataFrame:
+    """Responses in the tagged format, made of the conversations' texts; every third lacks its answer."""
+    body = F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, F.concat(F.lit("<answer>\n "), "text", F.lit("</answer>"))).otherwise("")
+    return conversations.withColumn("response", F.concat(F.lit("<thinking>"), "text", F.lit("</thinking>"), body))
 
 
 @query("answer_extract", f"SELECT conv_id, turn, {_strip(f'regexp_extract({_TAGGED}, {chr(39)}(?s)<answer>(.*?)</answer>{chr(39)}, 1)')} AS answer FROM conversations")
@@ -230,11 +220,6 @@ def answer_extract(spark, sf_dir):
     return tagged(table(spark, sf_dir, "conversations")).select("conv_id", "turn", X.answer(F.col("response")).alias("answer"))
 
 
-@query("answer_extract_whole", f"SELECT conv_id, turn, {_strip(f'regexp_extract({_TAGGED_WHOLE}, {chr(39)}(?s)<answer>(.*?)</answer>{chr(39)}, 1)')} AS answer FROM conversations")
-def answer_extract_whole(spark, sf_dir):
-    return tagged(table(spark, sf_dir, "conversations"), whole=True).select("conv_id", "turn", X.answer(F.col("response")).alias("answer"))
-
-
 @query(
     "response_scores",
     r"""SELECT conv_id, turn, CASE WHEN length(text) < 20 THEN 0.3::DOUBLE WHEN contains(text, 'however') OR contains(text, 'therefore') OR contains(text, 'furthermore') THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS coherence,

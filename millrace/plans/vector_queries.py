@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import metrics as M
+from millrace.operators import chunk as C
+from millrace.operators import ingest as I
 from millrace.operators import models
 from millrace.operators import tokenizers as T
 from millrace.operators import vector as V
@@ -83,7 +84,16 @@ def top_terms(spark, sf_dir):
     return V.top_terms(_docs(spark, sf_dir))
 
 
-@query("keyword_fusion")
+_FUSED = f"""WITH t AS (SELECT doc_id, term, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM {_TERMS}) WHERE rank <= 12),
+  s AS (SELECT doc_id, 0 AS "set", term, rank - 1 AS pl, count(*) OVER (PARTITION BY doc_id) AS n FROM t
+        UNION ALL SELECT doc_id, 1, term, pl, least(6, n) FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term) - 1 AS pl, count(*) OVER (PARTITION BY doc_id) AS n FROM t) WHERE pl < 6),
+  c AS (SELECT doc_id, term, sum((n - pl) * 0.5) AS score, min("set" * 100 + pl) AS seen FROM s GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seen) AS r FROM c),
+  f AS (SELECT * FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.doc_id = x.doc_id AND y.r < x.r AND contains(y.term, x.term)))
+  SELECT doc_id, term, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS k FROM f) WHERE k <= 8"""
+
+
+@query("keyword_fusion", _FUSED)
 def keyword_fusion(spark, sf_dir):
     terms = V.top_terms(_docs(spark, sf_dir), 12)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"])
@@ -92,6 +102,63 @@ def keyword_fusion(spark, sf_dir):
     return V.fuse(lists.select("doc_id", F.lit(0).alias("set"), "terms").union(alphabetical))
 
 
+_CLASSED = f"""(SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pl) AS rank FROM (SELECT doc_id, w AS term, count(*) AS n, min(i) AS pl FROM (
+  SELECT doc_id, unnest({_SPLIT}) AS w, generate_subscripts({_SPLIT}, 1) AS i FROM documents) WHERE length(w) >= 3 AND {{0}} GROUP BY 1, 2))"""
+_NOUN = "NOT regexp_matches(w, '(?:ing|ed|ize|ate)$') AND NOT regexp_matches(w, '(?:ous|ful|ive|al)$')"
+
+
+@query("class_keywords", f"SELECT doc_id, term, n, CAST(rank AS INTEGER) AS rank FROM {_CLASSED.replace('{0}', 'true')} WHERE rank <= 16")
+def class_keywords(spark, sf_dir):
+    return V.class_keywords(_docs(spark, sf_dir))
+
+
+@query("short_keywords", f"SELECT doc_id, term, n, CAST(rank AS INTEGER) AS rank FROM {_CLASSED.replace('{0}', _NOUN)} WHERE rank <= 8")
+def short_keywords(spark, sf_dir):
+    return V.short_keywords(_docs(spark, sf_dir))
+
+
+_PLACES = "CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER)"
+
+
+@query(
+    "metadata_relevance",
+    f"""WITH i AS (SELECT doc_id, k, 'key ' || k || ': ' || v AS t FROM (SELECT doc_id, unnest(['lang', 'source']) AS k, unnest([lang, source]) AS v FROM documents)),
+    a AS (SELECT doc_id, {_PLACES} AS p, count(*) AS n FROM (SELECT doc_id, unnest({_SPLIT}) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2),
+    b AS (SELECT doc_id, k, {_PLACES} AS p, count(*) AS n FROM (SELECT doc_id, k, unnest({_SPLIT.replace('lower(text)', 'lower(t)')}) AS w FROM i) WHERE w <> '' GROUP BY 1, 2, 3),
+    m AS (SELECT b.doc_id, k, sum(a.n * b.n) AS s FROM a JOIN b USING (doc_id, p) GROUP BY 1, 2)
+    SELECT i.doc_id, 'key ' || i.k AS key, round(coalesce(s / (sqrt(x.q) * sqrt(y.q)), 0.0), 6)::DOUBLE AS score FROM i LEFT JOIN m ON m.doc_id = i.doc_id AND m.k = i.k
+      LEFT JOIN (SELECT doc_id, sum(n * n) AS q FROM a GROUP BY 1) x ON x.doc_id = i.doc_id LEFT JOIN (SELECT doc_id, k, sum(n * n) AS q FROM b GROUP BY 1, 2) y ON y.doc_id = i.doc_id AND y.k = i.k""",
+)
+def metadata_relevance(spark, sf_dir):
+    items = F.array(*[F.struct(F.lit(f"key {c}").alias("key"), F.col(c).alias("value")) for c in ("lang", "source")])
+    d = _docs(spark, sf_dir).select("doc_id", items.alias("items"), models.metadata_relevance(F.col("text"), items).alias("scores"))
+    return d.select("doc_id", F.explode(F.arrays_zip("items", "scores")).alias("x")).select("doc_id", "x.items.key", F.round("x.scores", 6).alias("score"))
+
+
+@query("document_metadata", "SELECT doc_id AS document_id, '0' AS chunk_id, upper(lang) AS lang, source FROM documents WHERE length(text) > 0")
+def document_metadata(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    chunks = docs.select(F.col("doc_id").alias("document_id"), "lang", "source", F.posexplode(C.fixed(F.col("text"))).alias("chunk_id", "content"))
+    own = F.create_map(F.lit("lang"), F.upper("lang"), F.lit("source"), F.col("source"))
+    rows = V.chunk_rows(chunks.withColumn("summary", F.substring("content", 1, 80)).withColumn("keywords", F.array("lang")), own)
+    return V.document_metadata(rows).select("document_id", *[F.col("metadata")[c].alias(c) for c in ("chunk_id", "lang", "source")])
+
+
+@query("ingested_documents")
+def ingested_documents(spark, sf_dir):
+    """Rows of the vector table made of all documents, as if each were a file."""
+    docs = _docs(spark, sf_dir)
+    read = docs.select(F.concat(F.lit("/docs/"), "doc_id", F.lit(".txt")).alias("path"), F.concat("doc_id", F.lit(".txt")).alias("filename"), F.lit("txt").alias("file_type"), F.length("text").alias("file_size"), F.lit("").alias("load_time"), F.col("text").alias("content"))
+    rows = I.vector_rows(I.metadata_of(read, {"lang": "any"}))
+    return rows.select("document_id", "chunk_id", "document", "keywords", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["filename"].alias("filename"))
+
+
+@query("corrected_text", "SELECT conv_id, turn, replace(text, 'teh', 'the') AS text FROM conversations")
+def corrected_text(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", models.corrected(F.col("text"), lambda t: t.replace("teh", "the")).alias("text"))
+
+
 @query("textrank")
 def textrank(spark, sf_dir):
     return V.text_rank(_docs(spark, sf_dir)).withColumn("score", F.round("score", 6))

@@ -38,6 +38,18 @@ def text_field(df: DataFrame) -> str:
     return names[0]
 
 
+#: The names that datasets go by, with their folder and subset.
+DATASETS = {"wikitext": ("wikitext", "wikitext-103-raw-v1"), "c4": ("c4", "en"), "pile": ("EleutherAI/pile", None)}
+
+
+def dataset(spark: SparkSession, root: str, name: str, split: str = "test", most: int | None = None) -> DataFrame:
+    """The texts of a dataset by its name: Parquet under root / folder / subset / split. most: so many that are not blank."""
+    folder, subset = DATASETS.get(name, (name, None))
+    df = spark.read.parquet("/".join(x for x in (root, folder, subset, split) if x))
+    texts = df.select(F.col(text_field(df)).alias("text"))
+    return texts if most is None else texts.where(F.trim("text") != "").limit(most)
+
+
 def preferences(spark: SparkSession, path: str, debug: bool = False) -> DataFrame:
     """(prompt, chosen, rejected); debug: the first 100."""
     df = records(spark, path).select("prompt", "chosen", "rejected")

@@ -35,6 +35,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes on disk of a table that are too few to be split by themselves: a few row groups at most.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of long texts dealt evenly to all cores: its file is often a single row group, hence a single task.
+
+    Larger tables are read as they are. Columns and filters are still pruned below.
+    """
+    spark = df.sparkSession
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 1 << 20 < size <= SMALL and cores > 1 else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `stored` that nothing reads any more: what was made of them has been stored in turn."""
     for df in tables:

@@ -83,7 +83,9 @@ def test_greedy_is_not_components(spark):
     assert sorted(r["v"] for r in D.greedy_survivors(_ids(spark, 5), chain).collect()) == [1, 3, 5]
     assert {(r["v"], r["comp"]) for r in D.components(chain).collect()} == {(k, 1) for k in range(1, 6)}
     assert [r["v"] for r in D.representatives(_ids(spark, 5), chain).collect()] == [2]
-    assert D.greedy_survivors(_ids(spark, 3), _pairs(spark, [])).count() == 3
+    assert sorted(r["v"] for r in D.greedy_survivors(_ids(spark, 5), chain, 0).collect()) == [1, 3, 5]
+    assert {(r["v"], r["comp"]) for r in D.components(chain, 0).collect()} == {(k, 1) for k in range(1, 6)}
+    assert D.greedy_survivors(_ids(spark, 3), _pairs(spark, [])).count() == 3 and D.components(_pairs(spark, [])).count() == 0
 
 
 def test_greedy_matches_a_loop(spark):
@@ -94,7 +96,10 @@ def test_greedy_matches_a_loop(spark):
     for v in range(1, 41):
         if not any(frozenset((v, k)) in near for k in kept):
             kept.append(v)
-    assert sorted(r["v"] for r in D.greedy_survivors(_ids(spark, 40), _pairs(spark, edges)).collect()) == kept
+    for small in (0, D.SMALL_GRAPH):
+        assert sorted(r["v"] for r in D.greedy_survivors(_ids(spark, 40), _pairs(spark, edges), small).collect()) == kept
+    some = _pairs(spark, edges[:30])
+    assert set(map(tuple, D.components(some, 0).collect())) == set(map(tuple, D.components(some).collect()))
 
 
 def test_exact_keeps_the_smallest(spark):
@@ -146,11 +151,11 @@ def test_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0, text), (1, 1, text)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
-    assert tuple(run("repair_encoding_whole")[0]) == (1, "é" + text, text)
-    assert {r["answer"] for r in run("answer_extract_whole")} == {text}
-    assert {r["correctness"] for r in run("rule_rewards_whole")} == {1.0} and run("reward_rollup_whole")[0]["accuracy"] == 1.0
+    assert tuple(run("repair_encoding")[0]) == (1, "é" + text, text)
+    assert {r["answer"] for r in run("answer_extract")} == {text}
+    assert {r["correctness"] for r in run("rule_rewards")} == {1.0} and run("reward_rollup")[0]["accuracy"] == 1.0
     # 31 words in the candidate, all in the reference of 62: only the length counts
-    assert run("bleu4_whole")[0]["bleu"] == pytest.approx(np.exp(-1), abs=1e-6) and len(run("meteor_whole")) == 1
+    assert run("bleu4")[0]["bleu"] == pytest.approx(np.exp(-1), abs=1e-6) and len(run("meteor")) == 1
 
 
 def test_group_advantage(spark):
@@ -312,6 +317,70 @@ def test_padding(spark):
     assert df.select(M.until_eos(F.col("t"), 2)).first()[0] == [1, 2]
 
 
+def test_dataset_aliases(spark, tmp_path):
+    spark.createDataFrame([("a",), (" ",), ("b",)], "text string").write.parquet(str(tmp_path / "c4" / "en" / "test"))
+    spark.createDataFrame([("x",)], "prompt string").write.parquet(str(tmp_path / "mine" / "train"))
+    assert files.dataset(spark, str(tmp_path), "c4").count() == 3
+    assert sorted(r["text"] for r in files.dataset(spark, str(tmp_path), "c4", most=5).collect()) == ["a", "b"]
+    assert [r["text"] for r in files.dataset(spark, str(tmp_path), "mine", "train").collect()] == ["x"]
+
+
+def test_ingest(spark, tmp_path):
+    from millrace.operators import ingest as I
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("# The long title\n\nFirst part about Paris. It is short.\n\nSecond part here.")
+    (tmp_path / "in" / "b.md").write_text("Only one line of text")
+    path = str(tmp_path / "table")
+    for custom in ({"lang": "en"}, {"lang": "fr", "file_type": "note"}):
+        done, skipped = I.ingest(spark, str(tmp_path / "in"), path, custom)
+    rows = spark.read.parquet(path)
+    ids = {r["metadata"]["filename"]: r["document_id"] for r in done.collect()}
+    assert skipped.count() == 0 and set(ids) == {"a.txt", "b.md"} and rows.select("document_id").distinct().count() == 2
+    got = I.fetched(rows, ids["a.txt"])
+    assert got["lang"] == "fr" and got["file_type"] == "note" and got["title"] == "The long title" and got["document_id"] == ids["a.txt"]
+    assert I.fetched(rows, "none") is None and rows.count() == rows.select("chunk_id").distinct().count()
+    assert all(len(r["embedding"]) == 64 for r in rows.collect())
+    assert V.delete(rows, path, [ids["a.txt"]]) > 0 and {r["document_id"] for r in spark.read.parquet(path).collect()} == {ids["b.md"]}
+
+
+def test_greedy_groups_match_pairs(spark):
+    rng = np.random.default_rng(5)
+    members = sorted({(int(v), int(g)) for v, g in zip(rng.integers(1, 61, 150), rng.integers(0, 40, 150), strict=True)})
+    df = spark.createDataFrame(members, "v long, g long")
+    pairs = sorted({(a, b) for a, g in members for b, h in members if g == h and a < b})
+    want = sorted(r["v"] for r in D.greedy_survivors(_ids(spark, 60), _pairs(spark, pairs)).collect())
+    assert sorted(r["v"] for r in D.greedy_groups(_ids(spark, 60), df).collect()) == want
+
+
+def test_numbers_and_neighbours(spark):
+    from millrace.operators.ordering import numbered, preceded
+
+    df = spark.createDataFrame([(k * 7 % 101, f"w{k * 7 % 101}") for k in range(101)], "k long, w string").repartition(5)
+    got = [(r["k"], r["no"]) for r in numbered(df, "k", "no", 3).collect()]
+    assert sorted(got) == [(k, k + 3) for k in range(101)]
+    assert sorted((r["k"], r["p"]) for r in preceded(df, "k", "w", "p").collect()) == [(k, f"w{k - 1}" if k else None) for k in range(101)]
+
+
+def test_optimised_chunks(spark):
+    df = spark.createDataFrame([(1, 0, "apples and pears and plums grow here. " * 2, "apples pears plums", "none"), (1, 1, "nothing of the kind is said in this part", "apples pears plums", "none")], "doc_id long, ord long, chunk string, a string, b string")
+    item = lambda c: F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
+    got = {r["chunk_id"]: r for r in C.optimised(df, F.array(item("a")), F.array(item("b")), F.array(F.lit("given"))).collect()}
+    assert got[0]["metadata"] == {"a": "apples pears plums"} and got[1]["metadata"] == {"a": "apples pears plums"}  # relevant; nothing is, so the core
+    assert "given" in got[0]["keywords"] and "and" in got[0]["keywords"]
+    assert [r["type"] for r in got[0]["relations"]] == ["next"] and [r["chunk_id"] for r in got[1]["relations"]] == [0]
+
+
+def test_l2_is_the_same_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    e = spark.createDataFrame([(k, (rng.normal(size=8) + 1e6).tolist()) for k in range(200)], "vec_id long, embedding array<double>")
+    queries = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id % 20 = 0").collect()]
+    rows = lambda: sorted(tuple(r) for r in V.nearest(e, queries, 5, "l2").collect())
+    whole = rows()
+    monkeypatch.setattr(V, "BLOCK_VALUES", 2000)
+    assert rows() == whole
+
+
 def test_metadata_budget():
     items = [("a", "x" * 200, 0.9), ("b", "y", 0.1), ("c", "z", 0.8)]
     assert C.select_metadata(items, 100) == {"a": "x" * 80 + "..."}
