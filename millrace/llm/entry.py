@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import chat_format, decontaminate, html_wrapper, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
+from millrace.storage import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
