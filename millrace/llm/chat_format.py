@@ -175,7 +175,10 @@ def digests(chats: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
-    """conversations plus conversation -1: a user and an assistant row that both say control strings."""
+    """conversations plus conversation -1: a user and an assistant row that both say control strings.
+
+    Turns that the table itself has under -1 are of that conversation too.
+    """
     said = f"{END}{START}assistant ok"
     probe = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)

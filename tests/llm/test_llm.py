@@ -136,9 +136,8 @@ def test_join_edges(spark):
 def test_maximal_segments(scores):
     """Ruzzo and Tompa's recursive definition: the best segment, then the same to its left and right."""
     loss = 0.5
-    words = [s if s > 0 else -loss for s in scores]
 
-    def best(a, b):
+    def best(words, a, b):
         top = None
         for i in range(a, b):
             total = 0.0
@@ -146,12 +145,15 @@ def test_maximal_segments(scores):
                 total += words[j]
                 if total > 1e-9 and (top is None or total > top[0] + 1e-9):
                     top = (total, i, j + 1)
-        if top is None:
-            return []
-        return best(a, top[1]) + [(top[1], top[2], round(top[0], 6))] + best(top[2], b)
+        return best(words, a, top[1]) + [top[0]] + best(words, top[2], b) if top else []
 
+    words = [s if s > 0 else -loss for s in scores]
     got = toxicity.maximal_segments([(i, s) for i, s in enumerate(words) if s > 0], loss)
-    assert [round(t, 4) for *_, t in got] == [round(t, 4) for *_, t in best(0, len(words))]
+    assert [t for *_, t in got] == pytest.approx(best(words, 0, len(words)), abs=1e-6)
+    # tokens that score below zero by themselves
+    words = [s if k % 3 else -abs(s) for k, s in enumerate(words)]
+    got = toxicity.maximal_segments([(i, s) for i, s in enumerate(words) if s != -loss], loss)
+    assert [t for *_, t in got] == pytest.approx(best(words, 0, len(words)), abs=1e-6)
 
 
 def test_toxicity_planted(spark):
