@@ -13,7 +13,8 @@ exact: it leaves out only pairs that cannot link, or pairs that are known to be
    tokens that any member has in each column. It bounds what a query can share with any member, so only qualifying
    groups are opened, and groups of one and the same component are never paired.
 4. Members of opened groups that pass the same bound one by one are compared exactly, on the whole sets.
-5. Components of all links: the smallest id spreads along links, with shortcuts, until nothing changes.
+5. Components of all links: the smallest id spreads along links, with shortcuts, until nothing changes. Up to
+   SMALL_GRAPH links, counted before, are joined in one task, with the same result.
 
 Frequent tokens are found on every 16th document (by a hash of its id); this sets the order, hence the speed, and
 leaves out nothing. Sets travel only for pairs that are compared; never all pairs of a group of copies.
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import broadcast_if_small, discard, stored, unused
+from millrace.operators.dedup import SMALL_GRAPH, in_one_task, smallest_labels
 
 COLUMNS = 64
 FINE_COLUMNS = 8192
@@ -43,7 +45,7 @@ GROUP = 48
 BANDS, BAND_ROWS, LEADERS = 6, 4, 3
 #: How often leaders are drawn at most, and the share of the nodes (one in FEW) under which new links end it. This sets
 #: what is left to the token groups, hence the speed; every pair that may link is compared in any case.
-TURNS, FEW = 4, 1000
+TURNS, FEW = 3, 1000
 #: Groups under a token that others are paired with in one share.
 SHARE = 64
 #: Frequent tokens that the order knows at most. The rest are ordered by hash; no pair is lost.
@@ -271,8 +273,9 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Of candidate pairs (a, b) those whose whole sets link. Written to the shared folder."""
     close = stored(_possible(pairs, nodes, percent), f"{name}-close")
-    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, 2 * close.count()), F.col("doc_id") == F.col("id")).select("id", "text")
+    n = close.count()
+    ids = broadcast_if_small(close.select(F.col("a").alias("id")).union(close.select("b")), 2 * n)
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -280,7 +283,7 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "c", "s"])
 
     have = stored(some.mapInArrow(sets, "id long, c binary, s binary").dropDuplicates(["id", "c"]), f"{name}-sets")
-    full = close.join(have.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    full = have.select(F.col("id").alias("a"), F.col("s").alias("sa")).join(broadcast_if_small(close, n), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -303,7 +306,13 @@ def components(links: DataFrame, steps: int | None = None) -> DataFrame:
 
     With steps, only so many: ids of one comp are of one component then, but not the other way round.
     """
-    both = stored(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct().toDF("u", "v"), "edges")
+    given = stored(links.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "given")
+    if given.count() <= SMALL_GRAPH:  # one task joins few links, with the same result
+        few = stored(in_one_task(given, smallest_labels, "v long, comp long"), "label")
+        discard(given)
+        return few
+    both = stored(given.union(given.select("v", "u")), "edges")
+    discard(given)
     label, step = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("comp")), "label"), 0
     while steps is None or step < steps:
         around = both.join(label.toDF("u", "lu"), "u").groupBy("v").agg(F.min("lu").alias("m"))
