@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -266,7 +267,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("doc_id").alias(x), *[F.col(c).alias(d + x) for c, d in (("n", "n"), ("comp", "c"), ("odd", "o"), ("cols", "v"), ("fine", "f"))])
     apart = sum((F.bit_count(F.get("oa", F.lit(k)).bitwiseXOR(F.get("ob", F.lit(k)))) for k in range(4)), F.lit(0))
     sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    full = pairs.where("a <> b").distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("ca") != F.col("cb")) & sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
+    # dealt by a once, for the distinct pairs and for the first join
+    full = pairs.where("a <> b").repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("ca") != F.col("cb")) & sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
     return full.select("a", "b", "na", "nb", "va", "vb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
@@ -304,13 +306,13 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent:
 def components(links: DataFrame, steps: int | None = None) -> DataFrame:
     """(v, comp): the smallest id reachable along links (a, b), for every id that has a link.
 
-    With steps, only so many: ids of one comp are of one component then, but not the other way round.
+    With steps, only so many: ids of one comp are of one component then, but not the other way round. The links are read
+    twice at least, so they should be stored; repeated links and those of an id with itself change nothing.
     """
-    given = stored(links.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "given")
-    if given.count() <= SMALL_GRAPH:  # one task joins few links, with the same result
-        few = stored(in_one_task(given, smallest_labels, "v long, comp long"), "label")
-        discard(given)
-        return few
+    links = links.select("a", "b").where("a <> b")
+    if links.count() <= SMALL_GRAPH:  # one task joins few links, with the same result
+        return stored(in_one_task(links, smallest_labels, "v long, comp long"), "label")
+    given = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "given")
     both = stored(given.union(given.select("v", "u")), "edges")
     discard(given)
     label, step = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("comp")), "label"), 0
@@ -420,8 +422,8 @@ def _grouped(nodes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
     many = rows.where(F.col("k") > GROUP).withColumn("class", F.floor(F.log(F.col("m.n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")).withColumn("comp", F.col("m.comp"))
     counts = stored(many.groupBy("tok", "class", "comp").agg(F.count("*").alias("own")), "counts")
     large = counts.where(F.col("own") > GROUP)
-    mixed = stored(counts.where(F.col("own") <= GROUP).groupBy("tok", "class").agg(F.sum("own").alias("mixed")), "mixed")
-    sized = many.join(broadcast_if_small(large, large.count()), ["tok", "class", "comp"], "left").join(broadcast_if_small(mixed, mixed.count()), ["tok", "class"], "left")
+    mixed = counts.where(F.col("own") <= GROUP).groupBy("tok", "class").agg(F.sum("own").alias("mixed"))
+    sized = many.join(broadcast_if_small(large, large.count()), ["tok", "class", "comp"], "left").join(broadcast_if_small(mixed, counts.count()), ["tok", "class"], "left")
     # here the bound on members is taken over the fine columns too: there are few such rows, but many pairs
     fine = nodes.select(F.col("doc_id").alias("owner"), "fine")
     sized = sized.join(fine, F.col("m.doc_id") == F.col("owner")).withColumn("m", F.struct("m.*", "fine"))
@@ -449,7 +451,7 @@ def _grouped(nodes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
             out = list(dict.fromkeys(out))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return small.union(met.select((F.col("ga") == F.col("gb")).alias("same"), "ma", "mb").mapInArrow(across, "a long, b long")), [rows, counts, mixed, groups]
+    return small.union(met.select((F.col("ga") == F.col("gb")).alias("same"), "ma", "mb").mapInArrow(across, "a long, b long")), [rows, counts, groups]
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -459,15 +461,16 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     full = sketch.where("n > 0 and doc_id is not null")
     once = full.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "keys", "prefix", "cols", "fine", "odd")])
     nodes = stored(once, "nodes")
-    comps = star = None
+    n_nodes, comps, turns = nodes.count(), None, []
     for turn in range(TURNS):
         now = _labelled(nodes, comps)
         found = _links(docs, _starred(now, turn), now, k, percent, "star")
-        star, before = (found if star is None else star.union(found)), comps
+        turns.append(found)
+        star, before = reduce(DataFrame.union, turns), comps
         comps = components(star, steps=2)
         if before is not None:
             discard(before)
-        if found.count() * FEW < nodes.count():
+        if found.count() * FEW < n_nodes:
             break
     now = stored(_labelled(nodes, comps), "labelled")
     pairs, read = _grouped(now, percent)
@@ -475,8 +478,9 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     discard(comps, now, *read)
     # equal sets, and rows that share an id, are links too
     copies = full.select("doc_id", "c").join(nodes.select("c", F.col("doc_id").alias("first")), "c").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    final = components(star.union(more).union(copies)).toDF("id", "component_id")
-    discard(nodes)
+    same = stored(copies, "copies")
+    final = components(star.union(more).union(same)).toDF("id", "component_id")
+    discard(nodes, same, more, *turns)
     out = sketch.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(broadcast_if_small(final, final.count()), F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
