@@ -250,7 +250,7 @@ def _labelled(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) to those whose rows of the matrix leave it possible that they link. nodes have comp."""
+    """Distinct candidate pairs (a, b) to those whose rows of the matrix leave it possible that they link. nodes have comp."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -267,8 +267,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("doc_id").alias(x), *[F.col(c).alias(d + x) for c, d in (("n", "n"), ("comp", "c"), ("odd", "o"), ("cols", "v"), ("fine", "f"))])
     apart = sum((F.bit_count(F.get("oa", F.lit(k)).bitwiseXOR(F.get("ob", F.lit(k)))) for k in range(4)), F.lit(0))
     sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    # dealt by a once, for the distinct pairs and for the first join
-    full = pairs.where("a <> b").repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("ca") != F.col("cb")) & sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("ca") != F.col("cb")) & sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
     return full.select("a", "b", "na", "nb", "va", "vb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
@@ -343,7 +342,9 @@ def _starred(nodes: DataFrame, turn: int) -> DataFrame:
     drawn = [F.min(F.col("doc_id").bitwiseXOR(f)).alias(f"m{r}") for r, f in enumerate(flips)]
     first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *drawn).where("x <> y")
     first = first.select("key", F.array_distinct(F.array(*[F.col(f"m{r}").bitwiseXOR(f) for r, f in enumerate(flips)])).alias("b"))
-    return each.join(first, "key").select(F.col("doc_id").alias("a"), F.explode("b").alias("b"))
+    pairs = each.join(first, "key").select(F.col("doc_id").alias("a"), F.explode("b").alias("b")).where("a <> b")
+    # an id has BANDS * LEADERS rows at most: dealt by a once, for the distinct pairs and for what is joined by a
+    return pairs.repartition("a").distinct()
 
 
 def _rows(cols: pa.Array) -> np.ndarray:
@@ -474,7 +475,8 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
             break
     now = stored(_labelled(nodes, comps), "labelled")
     pairs, read = _grouped(now, percent)
-    more = _links(docs, pairs, now, k, percent, "group")
+    # an id may have many pairs here: made distinct by both ids, and a hot a is left to the join to split
+    more = _links(docs, pairs.where("a <> b").distinct(), now, k, percent, "group")
     discard(comps, now, *read)
     # equal sets, and rows that share an id, are links too
     copies = full.select("doc_id", "c").join(nodes.select("c", F.col("doc_id").alias("first")), "c").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
