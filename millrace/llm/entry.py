@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, html_wrapper, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
+from millrace.llm import chat_format, decontaminate, fill_middle, html_wrapper, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
 from millrace.storage import spread
 
 
@@ -70,6 +70,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chats)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "base_text_stats": base_text_stats,
         "op9_html_extraction": op9_html_extraction,
         "op10_chat_format": op10_chat_format,
+        "op11_fill_in_middle": op11_fill_in_middle,
         "pipeline": pipeline,
     }
 

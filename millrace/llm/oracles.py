@@ -85,4 +85,14 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_t
        CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
        CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(ws) AS base_failed
 FROM d LEFT JOIN r USING (doc_id)""",
+    "op11_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS ls, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(d, k, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, CAST(len(ls) AS BIGINT) AS n, least(h[1] % (len(ls) + 1), h[2] % (len(ls) + 1)) AS lo, greatest(h[1] % (len(ls) + 1), h[2] % (len(ls) + 1)) AS hi FROM l),
+p AS (SELECT *, array_to_string(ls[1 : lo], '') AS prefix, array_to_string(ls[lo + 1 : hi], '') AS middle, array_to_string(ls[hi + 1 : n], '') AS suffix,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
 }
