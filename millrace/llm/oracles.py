@@ -95,4 +95,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM p""",
+    "op13_source_mix": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                            substr(sha256('13:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+s AS (SELECT source, source_size, CAST(2 * source_size AS DOUBLE) AS cap, CAST([5, 2, 1][k % 3 + 1] AS DOUBLE) AS w FROM s0),
+fill(turn, n_full, rest, w) AS (
+  SELECT 0, CAST(-1 AS BIGINT), CAST(1.5 AS DOUBLE) * sum(CAST(source_size AS DOUBLE)), sum(w) FROM s
+  UNION ALL
+  SELECT turn + 1, g.n_full, g.rest, g.w FROM fill, LATERAL (
+    SELECT count(*) FILTER (fill.rest / fill.w * s.w > cap) AS n_full, CAST(1.5 AS DOUBLE) * sum(CAST(source_size AS DOUBLE)) - coalesce(sum(cap) FILTER (fill.rest / fill.w * s.w > cap), 0) AS rest,
+           coalesce(sum(s.w) FILTER (NOT fill.rest / fill.w * s.w > cap), 0) AS w FROM s) g
+  WHERE fill.w > 0 AND g.n_full > greatest(fill.n_full, 0)),
+lv AS (SELECT rest, w FROM fill ORDER BY turn DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN lv.w = 0 THEN cap ELSE least(cap, lv.rest * s.w / lv.w) END AS target FROM s, lv),
+b AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
+u AS (SELECT source, key, doc_id, size, count(*) AS m FROM d GROUP BY ALL),
+o AS (SELECT *, sum(m * size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - m * size AS before FROM u)
+SELECT d.doc_id, d.size, e.source_size, e.target,
+       CAST(d.size * e.epochs + greatest(0, least(d.size * o.m, e.budget - e.epochs * e.source_size - o.before)) // o.m AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.key = o.key AND d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.size = o.size""",
 }
