@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, fill_middle, html_wrapper, mixing, ngram_join, oracles, packing, pii, quality_ordinal, quality_rules, toxicity, url_reputation
+from millrace.llm import chat_format, decontaminate, fill_middle, html_wrapper, mixing, ngram_join, oracles, packing, pii, prefix_trie, quality_ordinal, quality_rules, toxicity, url_reputation
 from millrace.storage import spread
 
 
@@ -74,6 +74,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extraction": op9_html_extraction,
         "op10_chat_format": op10_chat_format,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_source_mix": op13_source_mix,
         "pipeline": pipeline,
     }

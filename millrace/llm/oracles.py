@@ -117,4 +117,21 @@ SELECT d.doc_id, d.size, e.source_size, e.target,
        CAST(d.size * e.epochs + greatest(0, least(d.size * o.m, e.budget - e.epochs * e.source_size - o.before)) // o.m AS BIGINT) AS taken
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.key = o.key AND d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.size = o.size""",
+    "op12_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, {'role': role, 'text': text} AS turn FROM t),
+c AS (SELECT DISTINCT conv_id, conv_id - (conv_id % 5 + 5) % 5 AS base,
+             xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h FROM o),
+r AS (SELECT c.conv_id, pos, turn FROM c JOIN o ON o.conv_id = base AND pos < h UNION ALL SELECT c.conv_id, pos, turn FROM c JOIN o ON o.conv_id = c.conv_id AND pos >= h),
+s AS (SELECT c.conv_id, list(turn ORDER BY pos) FILTER (pos IS NOT NULL) AS seq FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, coalesce(len(seq), 0) AS n, unnest(range(0, coalesce(len(seq), 0) + 1)) AS d, seq FROM s),
+q AS (SELECT conv_id, n, d, CASE WHEN d = 0 THEN '' ELSE to_json(seq[1 : d])::VARCHAR END AS k, CASE WHEN d = 0 THEN '' WHEN d = 1 THEN '' ELSE to_json(seq[1 : d - 1])::VARCHAR END AS up, CASE WHEN d > 0 THEN octet_length(encode(seq[d].text)) ELSE 0 END AS b FROM p),
+node AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM q GROUP BY k, d),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY up, d),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.up = node.k AND kids.d = node.d),
+above AS (SELECT DISTINCT a.k, a.d, b.k AS k2, b.d AS d2 FROM q a JOIN q b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (SELECT a.k, a.d, sum(f.saved) AS saved, count(*) FILTER (f.n_children = 0) AS leaves FROM above a JOIN full_node f ON f.k = a.k2 AND f.d = a.d2 GROUP BY a.k, a.d)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN sums s ON s.k = f.k AND s.d = f.d LEFT JOIN node u ON f.d > 0 AND u.k = f.up AND u.d = f.d - 1""",
 }
