@@ -7,8 +7,8 @@ windows' sub-blocks, the few starts around a match are looked up in the hash set
 compared word for word with its window before it counts.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window; a row of an empty
-benchmark leaves every document clean; rows that repeat (doc_id, text) are reported once, and kept or removed
-together; a null doc_id is a key like any other; other columns are carried and may have any name.
+benchmark leaves every document clean; rows that repeat (doc_id, text) are scanned and counted together, reported
+each, and kept or removed together; a null doc_id is a key like any other; other columns are carried and may have any name.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, alnum_words, broadcast_if_small, unused
+from millrace.llm.common import alnum_words, broadcast_if_small, unused
 
 WIDTH = 13
 #: Hashes up to which the set is part of the scan expression; a larger set is joined.
 INLINE_HASHES = 200_000
+#: Copies of a row that one array stands for.
+COPIES = 10_000
 
 
 def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -70,7 +72,7 @@ def _joined(words: DataFrame, blocks: DataFrame, l: int, b: int, found: str) ->
     """The block look-up for a set too large for the expression: the blocks are exploded and joined, then gathered by document."""
     keyed = words.withColumn("__row", F.struct("k_id", "k_text"))
     each = keyed.where(F.size("ws") >= l).select("__row", F.posexplode(F.expr(f"transform(sequence(0L, size(ws) div {b} - 1), j -> xxhash64(slice(ws, int(j * {b} + 1), {b})))")).alias("j", "b"))
-    got = each.join(broadcast_if_small(blocks, blocks.count(), 20 * BROADCAST_ROWS), "b", "left_semi").groupBy("__row").agg(F.array_sort(F.collect_set("j")).alias(found))
+    got = each.join(broadcast_if_small(blocks, blocks.count()), "b", "left_semi").groupBy("__row").agg(F.array_sort(F.collect_set("j")).alias(found))
     out = keyed.join(got, keyed["__row"].eqNullSafe(got["__row"]), "left").drop("__row")
     return out.withColumn(found, F.coalesce(F.col(found), F.expr("cast(array() as array<bigint>)")))
 
@@ -86,18 +88,18 @@ def _covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, inline: int = INLINE_HASHES) -> DataFrame:
-    """One row per distinct (doc_id, text): k_id, k_text (hash of the text), n_words, n_hit, spans, items.
+    """One row per distinct (doc_id, text): k_id, k_text (hash of the text), copies, n_words, n_hit, spans, items.
 
     spans: array of (p, l), the verified windows; items: sorted ids, as strings, of the items that have one.
     """
     windows = windows_of(benchmark, width)
     base = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"), alnum_words(F.col("text")).alias("ws"))
     scanned = _starts(base, windows, inline)
-    each = scanned.select("k_id", "k_text", F.size("ws").cast("bigint").alias("n_words"), F.explode_outer(F.expr("transform(hits, x -> named_struct('p', x.p, 'l', x.l, 'h', x.h, 'w', slice(ws, int(x.p + 1), x.l)))")).alias("x"))
+    each = scanned.select("k_id", "k_text", F.size("ws").cast("bigint").alias("n_words"), F.posexplode_outer(F.expr("transform(hits, x -> named_struct('p', x.p, 'l', x.l, 'h', x.h, 'w', slice(ws, int(x.p + 1), x.l)))")).alias("at", "x"))
     known = broadcast_if_small(windows.select(F.col("l").alias("wl"), F.col("h").alias("wh"), F.col("w").alias("ww"), "items"), windows.count())
     met = each.join(known, (F.col("x.h") == F.col("wh")) & (F.col("x.l") == F.col("wl")) & (F.col("x.w") == F.col("ww")), "left")
     hit = F.when(F.col("items").isNotNull(), F.struct(F.col("x.p").alias("p"), F.col("x.l").alias("l")))
-    grouped = met.groupBy("k_id", "k_text").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    grouped = met.groupBy("k_id", "k_text").agg(F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("copies"), F.max("n_words").alias("n_words"), F.collect_set(hit).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return grouped.withColumn("n_hit", _covered(F.col("spans")))
 
 
@@ -129,8 +131,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, unit: str = "documents"
 
 
 def report_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest columns of the contract from `contamination`."""
+    """The digest columns of the contract from `contamination`, a row for every row of docs."""
     r = contamination(docs, benchmark)
+    # copies are dealt in two steps, so that no array grows with them
+    r = r.withColumn("from", F.explode(F.expr(f"sequence(1L, copies, {COPIES}L)"))).withColumn("copy", F.explode(F.expr(f"sequence(`from`, least(copies, `from` + {COPIES - 1}L))")))
     return r.select(
         F.col("k_id").alias("doc_id"),
         "n_words",

@@ -113,3 +113,15 @@ def test_all_stages_take_odd_rows(spark, tmp_path):
         else:
             assert {r["doc_id"] for r in out.collect()} == set(kept)
     assert "ann.lee7" not in kept[4]
+
+
+def test_every_row_is_reported(spark):
+    hit, clean = "a b c d e f g h i j k l m", "nothing of that here"
+    rows = [(1, hit), (1, hit), (1, clean), (None, None), (None, None), (2, ""), (3, f"{hit} {hit} n o p q")]
+    docs = spark.createDataFrame([(*r, 7, 8, "x") for r in rows], "doc_id long, text string, copies int, at int, `from` string")
+    bench = spark.createDataFrame([(1, hit)], "item_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_hit"], r["contaminated"]) for r in decontaminate.report_query(docs, bench).collect()))
+    assert got == [(0, 0, False), (0, 0, False), (1, 0, False), (1, 13, True), (1, 13, True), (2, 0, False), (3, 26, True)]
+    many = spark.range(25_001).select(F.lit(5).alias("doc_id"), F.lit(hit).alias("text"))
+    out = decontaminate.report_query(many, bench).groupBy("contaminated").count().collect()
+    assert [tuple(r) for r in out] == [(True, 25_001)]
