@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
+from millrace.operators import blocks as B
 from millrace.storage import discard, stored
 
 #: Queries up to which one batch of them is sent to every task; more are searched batch by batch.
@@ -81,6 +82,24 @@ def _batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, m
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", F.col("v").alias(key), "score", "rank")
 
 
+def cell_index(vectors: DataFrame, cells: int = 100, key: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, DataFrame]:
+    """(centres, blocks): an index of all rows by cell, for exact search. The blocks are a table in the shared folder."""
+    centres = B.centres_of(vectors, cells, key, vector)
+    return centres, B.blocked(vectors, centres, key, vector)
+
+
+def search_exact(index: tuple[np.ndarray, DataFrame], queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, distance, rank): the k nearest rows by L2 of every row of queries. Exact: see `operators.blocks`.
+
+    The queries are a table like the rows; they are cut to blocks of near ones themselves and never pass the driver.
+    """
+    centres, rows = index
+    if not len(centres):
+        return rows.sparkSession.createDataFrame([], f"query long, {key} long, distance double, rank int")
+    asked = B.blocked(queries, centres, key, vector)
+    return B.nearest_rows(rows, asked, k).select("query", F.col("v").alias(key), "distance", "rank")
+
+
 def inverted_file(vectors: DataFrame, cells: int = 100, key: str = "vec_id", vector: str = "embedding", sample: int = 20_000, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
     """(centres, rows with `cell`). Centres come from a bounded sample (smallest hashes); every row gets its nearest cell."""
     some = vectors.orderBy(F.xxhash64(key)).limit(sample).select(vector).toPandas()[vector]
