@@ -9,6 +9,7 @@ from heapq import nsmallest
 from math import exp, log
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from millrace.storage import discard, stored
 #: Pair counts that the driver holds after a count of all; rarer pairs are counted anew if their turn can come.
 MAX_PAIRS = 100_000
 #: Merges after which the table of words is written with them applied.
-PENDING = 6
+PENDING = 24
 #: Parts that an expected count is summed in.
 UNIT = 1 << 20
 END = "</w>"
@@ -54,7 +55,16 @@ def encode(tokens: DataFrame, vocab: DataFrame, key: str, unknown: int = 1) -> D
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.explode(words_v2(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) of all texts. The words of a batch of texts are counted together before anything is shuffled."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            met = part.column(0).flatten().value_counts()
+            if len(met):
+                yield pa.RecordBatch.from_arrays([met.field(0).cast(pa.string()), met.field(1).cast(pa.int64())], names=["word", "n"])
+
+    words = F.coalesce(words_v2(F.col(text)), F.array().cast("array<string>"))
+    return docs.select(words.alias("ws")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def pair_stats(counts: DataFrame) -> DataFrame:
@@ -101,7 +111,7 @@ def learn_bpe(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
     from the words that have one of them.
     """
     symbols = F.concat(F.regexp_replace("word", "(?s)(.)", " $1\n"), F.lit(f" {END}\n"))
-    base = stored(counts.select(symbols.alias("s"), F.col("n").cast("long").alias("n")), "bpe-words")
+    base = stored(counts.select(F.concat("word", F.lit(END)).alias("w"), symbols.alias("s"), F.col("n").cast("long").alias("n")), "bpe-words")
     pending: list[tuple[str, str]] = []
 
     def merged(s: Column, some: list[tuple[str, str]]) -> Column:
@@ -146,10 +156,12 @@ def learn_bpe(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
         out += now
         if len(out) == merges:
             break
-        words = base.select(merged(F.col("s"), pending).alias("s"), "n")
-        hit = F.lit(False)
+        # few words have what the pairs spell: only these get the merges that are not written yet, and are looked into
+        spelt, hit = F.lit(False), F.lit(False)
         for x, y in now:
+            spelt |= F.contains("w", F.lit(x + y))
             hit |= F.contains("s", F.lit(f" {x}\n {y}\n"))
+        words = base.where(spelt).select(merged(F.col("s"), pending).alias("s"), "n")
         sides = F.array(F.struct("s", (-F.col("n")).alias("n")), F.struct(merged(F.col("s"), now).alias("s"), "n"))
         change = summed(words.where(hit).select(F.explode(sides).alias("w")).select("w.n", pairs(F.col("w.s")).alias("ps")))
         known = {x + y for x, y in out}
@@ -161,7 +173,7 @@ def learn_bpe(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
                     del stats[p]
         pending += now
         if len(pending) >= PENDING:
-            old, base = base, stored(base.select(merged(F.col("s"), pending).alias("s"), "n"), "bpe-words")
+            old, base = base, stored(base.select("w", merged(F.col("s"), pending).alias("s"), "n"), "bpe-words")
             discard(old)
             pending = []
         if floor and any(x + y == END or len(x + y) == 1 for x, y in now):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.plans.catalog import query, table
 from millrace.sources import files
 from millrace.storage import shared_dir
-from millrace.streaming import dedup
+from millrace.streaming import buffers, dedup
 
 
 def _fresh(spark, name: str) -> str:
@@ -48,3 +48,16 @@ def stream_exact_dedup(spark, sf_dir):
     out, state = _fresh(spark, "stream"), _fresh(spark, "stream-state")
     dedup.run_available(dedup.stream_dedup(timed, "ts", "text").select("digest"), out, state)
     return spark.read.parquet(out)
+
+
+@query(
+    "stream_count_buffer",
+    """SELECT user_id, buffer, array_to_string(list(event_id ORDER BY event_id), ',') AS members FROM (SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 16 AS buffer FROM events)
+       GROUP BY user_id, buffer HAVING count(*) = 16""",
+)
+def stream_count_buffer(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
+    landed, out, state = (_fresh(spark, x) for x in ("landing", "stream", "stream-state"))
+    rows.write.parquet(landed)
+    buffers.run_buffers(buffers.count_buffers(spark.readStream.schema(rows.schema).parquet(landed), 16, "event_id", "user_id", "at", "365 days"), out, state)
+    return spark.read.parquet(out).where("is_full").select("user_id", "buffer", F.array_join("members", ",").alias("members"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import convert as C
 from millrace.functions import text as X
 from millrace.plans.catalog import query, table
 
@@ -61,6 +62,31 @@ def simplify_chars(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.simplify(F.concat("text", F.lit("優惠領取")), {"優": "优", "領": "领"}).alias("text"))
 
 
+#: Phrases that overlap: at each place the longest holds, and what was converted is not looked at again.
+PHRASES = {"優惠": "优惠", "優惠領取": "领取优惠", "領": "领", "取": "取", "the": "<the>", "then": "<then>", "hen": "<hen>", "e": "é", "re": "<re>", "red ": "<red> "}
+_LONGEST = "|".join(sorted(PHRASES, key=lambda p: (-len(p), p)))
+_TO = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in PHRASES.items()) + "}"
+
+
+@query(
+    "convert_phrases",
+    f"""SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(({_TO})[hits[i]], '')), '') AS text
+        FROM (SELECT doc_id, regexp_split_to_array(t, '{_LONGEST}') AS gaps, regexp_extract_all(t, '{_LONGEST}') AS hits FROM (SELECT doc_id, concat(text, '優惠領取優惠領') AS t FROM documents))""",
+)
+def convert_phrases(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", C.convert_phrases(F.concat("text", F.lit("優惠領取優惠領")), PHRASES).alias("text"))
+
+
+@query("decode_mixed", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('微信支付优惠领取', chr(10), text) ELSE text END AS text FROM documents")
+def decode_mixed(spark, sf_dir):
+    """Documents as bytes of one encoding or of two, read again."""
+    latin = F.when(F.col("text").rlike(r"[^\x00-\x7F\x{A0}-\x{FF}]"), F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    chinese = F.concat(F.lit(bytearray("微信支付优惠领取".encode("gb18030"))), F.encode(F.concat(F.lit("\n"), F.col("text")), "UTF-8"))
+    kind = F.pmod("doc_id", F.lit(3))
+    raw = F.when(kind == 0, chinese).when(kind == 1, latin).otherwise(F.encode("text", "UTF-8"))
+    return _docs(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", C.decode_mixed(F.col("raw")).alias("text"))
+
+
 @query("repair_encoding", "SELECT doc_id, concat('é', text) AS fixed, text AS plain FROM documents")
 def repair_encoding(spark, sf_dir):
     broken = F.decode(F.encode(F.concat(F.lit("é"), "text"), "UTF-8"), "ISO-8859-1")

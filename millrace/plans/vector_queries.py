@@ -213,10 +213,10 @@ def encode(spark, sf_dir):
     return T.encode(t, T.vocabulary(t), "id_")
 
 
-@query("padded_batch", f"SELECT conv_id, turn, array_to_string(list_concat(ws[1:32], list_transform(range(greatest(0, 32 - len(ws))), lambda i: '<pad>')), ' ') AS tokens FROM (SELECT conv_id, turn, {_V2} AS ws FROM conversations)")
+@query("padded_batch", f"SELECT conv_id, turn, array_to_string(list_concat(ws[1:512], list_transform(range(greatest(0, 512 - len(ws))), lambda i: '<pad>')), ' ') AS tokens FROM (SELECT conv_id, turn, {_V2} AS ws FROM conversations)")
 def padded_batch(spark, sf_dir):
     ws = T.words_v2(F.col("text"))
-    padded = F.concat(F.slice(ws, 1, 32), F.array_repeat(F.lit("<pad>"), F.greatest(F.lit(0), 32 - F.size(ws))))
+    padded = F.concat(F.slice(ws, 1, 512), F.array_repeat(F.lit("<pad>"), F.greatest(F.lit(0), 512 - F.size(ws))))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(padded, " ").alias("tokens"))
 
 
@@ -234,6 +234,25 @@ def bpe_first_merge(spark, sf_dir):
     return T.pair_stats(T.word_counts(_docs(spark, sf_dir))).orderBy(F.desc("n"), "left", "right").limit(1).select("left", "right")
 
 
+def _merges_sql(steps: int) -> str:
+    """The first merges, step by step: a word is its symbols, each between a space and a line end."""
+    symbols = f"""SELECT (SELECT string_agg(' ' || c || chr(10), '' ORDER BY i) FROM (SELECT unnest(list_append(list_filter(string_split(word, ''), lambda c: c <> ''), '</w>')) AS c, generate_subscripts(list_append(list_filter(string_split(word, ''), lambda c: c <> ''), '</w>'), 1) AS i)) AS s, n
+      FROM (SELECT word, count(*) AS n FROM (SELECT unnest({_V2}) AS word FROM documents) GROUP BY 1)"""
+    parts = [f"w0 AS MATERIALIZED ({symbols})"]
+    for k in range(steps):
+        parts.append(
+            f"""b{k} AS MATERIALIZED (SELECT ss[i] AS "left", ss[i + 1] AS "right" FROM (SELECT n, ss, unnest(range(1, len(ss))) AS i FROM (SELECT n, string_split(s[2:-2], chr(10) || ' ') AS ss FROM w{k})) GROUP BY 1, 2 ORDER BY sum(n) DESC, 1, 2 LIMIT 1),
+            w{k + 1} AS MATERIALIZED (SELECT replace(s, ' ' || "left" || chr(10) || ' ' || "right" || chr(10), ' ' || "left" || "right" || chr(10)) AS s, n FROM w{k}, b{k})"""
+        )
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f'SELECT CAST({k} AS INTEGER) AS rank, "left", "right" FROM b{k}' for k in range(steps))
+
+
+@query("bpe_merges_5", _merges_sql(5))
+def bpe_merges_5(spark, sf_dir):
+    got = T.learn_bpe(T.word_counts(_docs(spark, sf_dir)), 5)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(got)], "rank int, left string, right string")
+
+
 @query("bpe_merges_200")
 def bpe_merges_200(spark, sf_dir):
     got = T.learn_bpe(T.word_counts(_docs(spark, sf_dir)), 200)
