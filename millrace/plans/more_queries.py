@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import alignment, gazetteer
 from millrace.operators import kernels as K
 from millrace.operators import metrics as M
 from millrace.operators import tokenizers as T
@@ -130,3 +132,28 @@ def joined_diversity(spark, sf_dir):
 def corpus_report(spark, sf_dir):
     losses = _events(spark, sf_dir).withColumn("loss", -F.col("logprob"))
     return _rounded(M.corpus_report(table(spark, sf_dir, "conversations"), losses))
+
+
+_NAME_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(
+    "gazetteer_entities",
+    f"""WITH n AS (SELECT DISTINCT ws[1] || ' ' || ws[2] AS name FROM (SELECT {_NAME_WORDS} AS ws FROM conversations WHERE role = 'user') WHERE len(ws) >= 2),
+      p AS (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT doc_id, {_NAME_WORDS} AS ws FROM documents))
+      SELECT doc_id, name, 'opening' AS kind, count(*) AS n, CAST(min(i) - 1 AS INTEGER) AS first_at FROM p JOIN n ON ws[i] || ' ' || ws[i + 1] = name GROUP BY doc_id, name""",
+)
+def gazetteer_entities(spark, sf_dir):
+    """The gazetteer: what user turns begin with, two words each."""
+    ws = gazetteer.name_words(F.col("text"))
+    names = table(spark, sf_dir, "conversations").where("role = 'user'").select(ws.alias("ws")).where("size(ws) >= 2").select(F.array_join(F.slice("ws", 1, 2), " ").alias("name"), F.lit("opening").alias("kind")).distinct()
+    found = gazetteer.named(table(spark, sf_dir, "documents"), names)
+    return found.groupBy("doc_id", "name", "kind").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+
+
+@query("meteor_stems")
+def meteor_stems(spark, sf_dir):
+    """Each turn of the assistant against its next one in the conversation."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return said.withColumn("next", after).where("next is not null").select("conv_id", "turn", F.round(alignment.meteor(F.col("text"), F.col("next")), 6).alias("meteor"))
