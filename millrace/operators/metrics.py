@@ -204,6 +204,18 @@ def kl_controller(kls: Column, start: float, target: float, rate: float) -> Colu
     return F.aggregate(kls, F.lit(float(start)), lambda c, k: F.coalesce(F.greatest(F.lit(0.0), c + rate * (k - target)), F.lit(0.0)))
 
 
+def kl_controllers(rows: DataFrame, by: str, order: str, kl: str, start: float, target: float, rate: float) -> DataFrame:
+    """(by, coef): kl_controller for every key over its rows in order, without gathering them.
+
+    With steps s = rate (kl - target) and their running sums S, the coefficient that never falls below 0 is
+    S + max(start, -min S so far): one window with a running sum, then one aggregate.
+    """
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(by, order, F.sum(F.lit(rate) * (F.col(kl) - F.lit(target))).over(w).alias("s"))
+    ends = sums.groupBy(by).agg(F.max_by("s", order).alias("last"), F.min("s").alias("low"))
+    return ends.select(by, (F.col("last") + F.greatest(F.lit(float(start)), -F.col("low"))).alias("coef"))
+
+
 def count_buffers(rows: DataFrame, size: int, order: str, by: str) -> DataFrame:
     """rows with `buffer`: every `size` rows of a key, in order, fill one."""
     return rows.withColumn("buffer", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("bigint"))

@@ -71,10 +71,12 @@ def rope_interleaved(spark, sf_dir):
     return _long(_emb(spark, sf_dir).select("vec_id", K.rotary(F.slice("embedding", 1, 8), F.col("vec_id"), 8, interleaved=True).alias("x")), "vec_id", "x")
 
 
-@query("relative_bias", "SELECT a AS i, b AS j, CAST(least(greatest(b - a, -4), 4) + 4 AS INTEGER) AS bucket FROM (SELECT CAST(unnest(range(16)) AS INTEGER) AS a), (SELECT CAST(unnest(range(16)) AS INTEGER) AS b)")
+@query("relative_bias", "SELECT a.vec_id AS i, b.vec_id AS j, CAST(least(greatest(b.vec_id - a.vec_id, -4), 4) + 4 AS INTEGER) AS bucket FROM embeddings a JOIN embeddings b ON a.vec_id // 16 = b.vec_id // 16")
 def relative_bias(spark, sf_dir):
-    i = spark.range(16).select(F.col("id").cast("int").alias("i"))
-    return i.select("i", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("j")).withColumn("bucket", K.relative_bucket(F.col("i"), F.col("j"), 4))
+    """All pairs of positions of a sequence of 16 rows."""
+    e = _emb(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 16).alias("seq"))
+    both = e.withColumnRenamed("vec_id", "i").join(e.withColumnRenamed("vec_id", "j"), "seq")
+    return both.select("i", "j", K.relative_bucket(F.col("i"), F.col("j"), 4).cast("int").alias("bucket"))
 
 
 def _heads(spark, sf_dir, heads: int):

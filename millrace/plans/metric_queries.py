@@ -250,10 +250,11 @@ def best_checkpoint(spark, sf_dir):
     return M.best(_rounded(_events(spark, sf_dir).groupBy("seq").agg(F.avg("reward").alias("score")), "score"), "score", "seq")
 
 
-@query("kl_controller", "SELECT 0 AS id, 0.0925::DOUBLE AS coef")
+@query("kl_controller", "SELECT user_id, round(list_reduce(list(value / 50 ORDER BY event_id), lambda c, k: greatest(0.0::DOUBLE, c + 0.015 * (k - 6.0)), 0.1::DOUBLE), 6) + 0.0 AS coef FROM events GROUP BY user_id")
 def kl_controller(spark, sf_dir):
-    one = spark.createDataFrame([(0, [6.0, 5.0, 6.5])], "id int, kls array<double>")
-    return one.select("id", F.round(M.kl_controller(F.col("kls"), 0.1, 6.0, 0.015), 6).alias("coef"))
+    """A controller a user, its KLs made of the events' values."""
+    kls = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 50).alias("kl"))
+    return M.kl_controllers(kls, "user_id", "event_id", "kl", 0.1, 6.0, 0.015).select("user_id", (F.round("coef", 6) + F.lit(0.0)).alias("coef"))
 
 
 @query("until_eos", "SELECT conv_id, turn, array_to_string(CASE WHEN list_position(ws, 'the') > 0 THEN ws[1 : list_position(ws, 'the')] ELSE ws END, ' ') AS kept FROM (SELECT conv_id, turn, " + _words("text") + " AS ws FROM conversations)")

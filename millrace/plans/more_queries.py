@@ -90,22 +90,19 @@ def keywords(spark, sf_dir):
     return V.keywords(table(spark, sf_dir, "documents"))
 
 
-_MODULES = [("model.layers.0.q_proj", 2), ("model.layers.0.k_proj", 2), ("model.norm", 1), ("lm_head", 2), ("model.layers.0.q_proj.bias", 1)]
-_VALUES = ", ".join(f"('{n}', {d})" for n, d in _MODULES)
+def _modules(spark, sf_dir):
+    """Parts stand for modules: their names, and how many dimensions each parameter has."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 4).alias("dim"))
 
 
-def _modules(spark):
-    return spark.createDataFrame(_MODULES, "name string, dim int")
-
-
-@query("lora_targets", f"SELECT name FROM (VALUES {_VALUES}) m(name, dim) WHERE contains(name, 'q_proj') OR contains(name, 'v_proj')")
+@query("lora_targets", "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(p_name, 'bolt') OR contains(p_name, 'red ')")
 def lora_targets(spark, sf_dir):
-    return K.lora_targets(_modules(spark), ["q_proj", "v_proj"]).select("name")
+    return K.lora_targets(_modules(spark, sf_dir), ["bolt", "red "]).select("id", "name")
 
 
-@query("decay_groups", f"SELECT name, CAST(dim AS INTEGER) AS dim, CASE WHEN dim >= 2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS weight_decay FROM (VALUES {_VALUES}) m(name, dim)")
+@query("decay_groups", "SELECT p_partkey AS id, p_name AS name, CAST(p_size % 4 AS INTEGER) AS dim, CASE WHEN p_size % 4 >= 2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS weight_decay FROM part")
 def decay_groups(spark, sf_dir):
-    return K.decay_groups(_modules(spark), 0.1)
+    return K.decay_groups(_modules(spark, sf_dir), 0.1)
 
 
 _W = f"(SELECT conv_id * 1000 + turn AS o, {_words('text')} AS ws FROM conversations)"
