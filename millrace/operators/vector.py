@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,20 +205,49 @@ def _bucket() -> Column:
 
 
 def _rewrite(spark: SparkSession, path: str, ids: DataFrame, new: DataFrame | None) -> None:
-    """Replace the rows of some documents: what stays in their buckets is written aside first, then these buckets anew."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
+    """Replace the rows of some documents: their buckets are written anew aside, then moved into place.
+
+    One rename makes the new buckets final. Whatever fails before it leaves the table as it was; whatever fails later is
+    completed by `recover`, which every update calls first.
+    """
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, path)
+    if not fs.exists(of(path)):
         if new is not None:
             new.withColumn("bucket", _bucket()).write.partitionBy("bucket").parquet(path)
         return
     touched = {r[0] for r in ids.select(_bucket()).distinct().collect()}  # BUCKETS numbers at most
     old = spark.read.parquet(path).where(F.col("bucket").isin(*touched)).join(ids.select("document_id").distinct(), "document_id", "left_anti")
     made = stored(old if new is None else old.unionByName(new.withColumn("bucket", _bucket()), allowMissingColumns=True), "vector-table")
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    aside = f"{path}/_write-{uuid.uuid4().hex}"
+    made.write.partitionBy("bucket").parquet(aside)
     for b in touched - {r[0] for r in made.select("bucket").distinct().collect()}:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"), True)
+        fs.mkdirs(of(f"{aside}/_gone/bucket={b}"))
     discard(made)
+    fs.rename(of(aside), of(aside.replace("_write-", "_commit-")))
+    recover(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Complete the updates of a vector table that were final but not yet in place; each step may be repeated."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(of(path)):
+        return
+    for commit in [x.getPath() for x in fs.listStatus(of(path)) if x.getPath().getName().startswith("_commit-")]:
+        for new in [x.getPath() for x in fs.listStatus(commit) if x.getPath().getName().startswith("bucket=")]:
+            _moved(fs, new, of(f"{path}/{new.getName()}"))
+        gone = of(commit, "_gone")
+        for old in [x.getPath().getName() for x in fs.listStatus(gone)] if fs.exists(gone) else []:
+            fs.delete(of(f"{path}/{old}"), True)
+        fs.delete(commit, True)
+
+
+def _moved(fs, new, old) -> None:
+    """new in the place of old. While new is where it was written, old may be there or not."""
+    fs.delete(old, True)
+    fs.rename(new, old)
 
 
 def upsert(rows: DataFrame, path: str) -> None:

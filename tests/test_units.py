@@ -385,3 +385,25 @@ def test_metadata_budget():
     items = [("a", "x" * 200, 0.9), ("b", "y", 0.1), ("c", "z", 0.8)]
     assert C.select_metadata(items, 100) == {"a": "x" * 80 + "..."}
     assert C.select_metadata([("a", "x", 0.1), ("b", "y", 0.1), ("c", "z", 0.1)], 100) == {"a": "x", "b": "y"}
+
+
+def test_an_update_that_fails_midway_is_completed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "vectors")
+    rows = lambda ids, text: spark.createDataFrame([(f"d{i}", f"c{i}", text) for i in ids], "document_id string, chunk_id string, content string")
+    V.upsert(rows(range(30), "old"), path)
+    moved, done = V._moved, []
+
+    def fails(fs, new, old):
+        if len(done) == 3:
+            raise OSError("lost")
+        done.append(1)
+        moved(fs, new, old)
+
+    monkeypatch.setattr(V, "_moved", fails)
+    with pytest.raises(OSError):
+        V.upsert(rows(range(12), "new"), path)
+    monkeypatch.setattr(V, "_moved", moved)
+    V.recover(spark, path)
+    got = sorted((r["document_id"], r["content"]) for r in spark.read.parquet(path).collect())
+    assert got == sorted((f"d{i}", "new" if i < 12 else "old") for i in range(30))
+    assert V.delete(spark.read.parquet(path), path, [f"d{i}" for i in range(30)]) == 30
