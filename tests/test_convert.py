@@ -39,28 +39,33 @@ def slow_cost(line, encoding):
     """Place by place."""
     if encoding == "utf-8":
         return 10.0 * line.decode("utf-8", "replace").count("�")
-    cost, k = 0.0, 0
+    cost, k, runs = 0.0, 0, [0]  # runs: of characters that stand together
     while k < len(line):
         b = line[k]
         if b < 0x80:
+            runs.append(0)
             k += 1
         elif encoding == "gb18030":
             two = line[k : k + 2]
             four = line[k : k + 4]
             if len(two) == 2 and 0x81 <= b <= 0xFE and (0x40 <= two[1] <= 0x7E or 0x80 <= two[1] <= 0xFE):
                 cost += 0 if two[1] >= 0xA1 and two[1] <= 0xFE and (0xB0 <= b <= 0xD7 or 0xA1 <= b <= 0xA3) else 1.5
+                runs[-1] += 1
                 k += 2
             elif len(four) == 4 and 0x81 <= b <= 0xFE and 0x30 <= four[1] <= 0x39 and 0x81 <= four[2] <= 0xFE and 0x30 <= four[3] <= 0x39:
                 cost += 1.5
+                runs[-1] += 1
                 k += 4
             else:
                 cost += 10
+                # what stood alone before an invalid byte is invalid with it
+                runs[-1] = 0
                 k += 1
         else:
             cost += 10 if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else 2 if b < 0xA0 else 0.6 if b < 0xC0 or b in (0xD7, 0xF7) else 0.3
             cost += 0.5 if k and line[k - 1] >= 0x80 else 0
             k += 1
-    return cost
+    return cost + 1.2 * runs.count(1)
 
 
 @pytest.mark.parametrize("seed", range(20))
