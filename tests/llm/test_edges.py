@@ -125,3 +125,28 @@ def test_every_row_is_reported(spark):
     many = spark.range(25_001).select(F.lit(5).alias("doc_id"), F.lit(hit).alias("text"))
     out = decontaminate.report_query(many, bench).groupBy("contaminated").count().collect()
     assert [tuple(r) for r in out] == [(True, 25_001)]
+
+
+def test_ordinal_fit_is_a_minimum_of_the_plain_likelihood():
+    """The cumulative-link likelihood, written out row by row; its finite differences vanish at what was fitted."""
+    from math import exp, log
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["calm", "fair", "loud", "junk", "spam"], 6)) for _ in range(40)]
+    grades = np.array([min(2, max(0, t.split().count("calm") + t.split().count("fair") - 1 + int(rng.integers(-1, 2)))) for t in texts])
+    rows = [quality_ordinal.features(t) for t in texts]
+    m = quality_ordinal.fit_rows(rows, grades, 3, epochs=1500)
+    used = sorted({int(p) for places, _ in rows for p in places})
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for (places, values), g in zip(rows, grades, strict=True):
+            s = sum(weights[int(p)] * v for p, v in zip(places, values, strict=True))
+            below = lambda k: 0.0 if k < 0 else 1.0 if k >= len(thresholds) else 1 / (1 + exp(-(thresholds[k] - s)))  # noqa: B023, E731
+            total -= log(max(1e-9, below(g) - below(g - 1))) / len(rows)
+        return total + 0.5 * quality_ordinal.RIDGE * sum(w * w for w in weights.values())
+
+    w, t, step = {p: float(m.weights[p]) for p in used}, [float(x) for x in m.thresholds], 1e-4
+    slopes = [(loss(w | {p: w[p] + step}, t) - loss(w | {p: w[p] - step}, t)) / (2 * step) for p in used]
+    slopes += [(loss(w, [x + step * (j == k) for j, x in enumerate(t)]) - loss(w, [x - step * (j == k) for j, x in enumerate(t)])) / (2 * step) for k in range(len(t))]
+    assert t[0] < t[1] and max(map(abs, slopes)) < 5e-3
