@@ -27,6 +27,9 @@ END = "</w>"
 SPACE = "▁"
 
 
+WORD_V2 = rf"([\p{{L}}\p{{N}}_]+(?:'[\p{{L}}\p{{N}}_]+)?|[^\p{{L}}\p{{N}}_{X.WS}])"
+
+
 def words_v1(text: Column) -> Column:
     """Runs of letters, digits and underscores, and the marks . , ! ? ;"""
     return F.regexp_extract_all(X.normalise(text), F.lit(r"([\p{L}\p{N}_]+|[.,!?;])"), F.lit(1))
@@ -34,7 +37,7 @@ def words_v1(text: Column) -> Column:
 
 def words_v2(text: Column) -> Column:
     """Words with one contraction each, and every other character that is not white space by itself."""
-    return F.regexp_extract_all(X.normalise(text), F.lit(rf"([\p{{L}}\p{{N}}_]+(?:'[\p{{L}}\p{{N}}_]+)?|[^\p{{L}}\p{{N}}_{X.WS}])"), F.lit(1))
+    return F.regexp_extract_all(X.normalise(text), F.lit(WORD_V2), F.lit(1))
 
 
 def characters(text: Column) -> Column:
@@ -63,7 +66,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             if len(met):
                 yield pa.RecordBatch.from_arrays([met.field(0).cast(pa.string()), met.field(1).cast(pa.int64())], names=["word", "n"])
 
-    words = F.coalesce(words_v2(F.col(text)), F.array().cast("array<string>"))
+    # white space is no word: it need not be squeezed first
+    words = F.coalesce(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_V2), F.lit(1)), F.array().cast("array<string>"))
     return docs.select(words.alias("ws")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -163,7 +167,10 @@ def learn_bpe(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
             hit |= F.contains("s", F.lit(f" {x}\n {y}\n"))
         words = base.where(spelt).select(merged(F.col("s"), pending).alias("s"), "n")
         sides = F.array(F.struct("s", (-F.col("n")).alias("n")), F.struct(merged(F.col("s"), now).alias("s"), "n"))
-        change = summed(words.where(hit).select(F.explode(sides).alias("w")).select("w.n", pairs(F.col("w.s")).alias("ps")))
+        # pairs without a symbol of a merged pair, or what it becomes, are the same before and after
+        symbols_of = sorted({t for x, y in now for t in (x, y, x + y)})
+        near = F.filter(pairs(F.col("w.s")), lambda p: p["left"].isin(symbols_of) | p["right"].isin(symbols_of))
+        change = summed(words.where(hit).select(F.explode(sides).alias("w")).select("w.n", near.alias("ps")))
         known = {x + y for x, y in out}
         for r in change.collect():
             p = (r["left"], r["right"])
