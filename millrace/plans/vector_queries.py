@@ -283,6 +283,19 @@ def sentencepiece_encode(spark, sf_dir):
     return _apply(spark, sf_dir, T.with_spaces, lambda w: T.bpe_word(w, ranks))
 
 
+@query(
+    "wordpiece_vocab",
+    f"""WITH w AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest({_V2}) AS word FROM documents) GROUP BY 1),
+      chars AS MATERIALIZED (SELECT DISTINCT CASE WHEN i = 1 THEN c ELSE '##' || c END AS piece FROM (SELECT substr(word, i, 1) AS c, i FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w))),
+      k AS (SELECT word, n, unnest(range(2, least(length(word), 20) + 1)) AS k FROM w WHERE length(word) > 1),
+      cand AS (SELECT piece, sum(n) AS n FROM (SELECT substr(word, 1, k) AS piece, n FROM k UNION ALL SELECT '##' || substr(word, k + 1) AS piece, n FROM k WHERE k < length(word)) GROUP BY piece)
+      SELECT piece FROM chars UNION ALL
+      SELECT piece FROM (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) AS r FROM cand WHERE piece NOT IN (SELECT piece FROM chars)) WHERE r <= 10000 - (SELECT count(*) FROM chars)""",
+)
+def wordpiece_vocab(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in sorted(T.learn_wordpieces(T.word_counts(_docs(spark, sf_dir))))], "piece string")
+
+
 @query("wordpiece_encode")
 def wordpiece_encode(spark, sf_dir):
     vocab = T.learn_wordpieces(T.word_counts(_docs(spark, sf_dir)), 5_000)
