@@ -32,7 +32,6 @@ FIRST = 4
 SLACK = 1e-6
 
 BLOCKS = "b long, cell int, n int, ids binary, xs binary, low binary, high binary, mean binary"
-NONE = np.zeros(0)
 
 
 def centres_of(vectors: DataFrame, cells: int, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, unit: bool = False, seed: int = 42) -> np.ndarray:

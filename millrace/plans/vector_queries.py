@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import text as X
 from millrace.operators import chunk as C
 from millrace.operators import ingest as I
 from millrace.operators import models
