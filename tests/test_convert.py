@@ -83,3 +83,11 @@ def test_bytes_of_several_encodings(spark):
     got = [r[0] for r in df.select(C.decode_mixed(df.raw)).collect()]
     assert got[0] == "\n".join(t for t, _ in lines) and got[1] is None and got[2] == ""
     assert got[3].startswith("ok ") and got[4].endswith("�")  # invalid bytes are replaced
+
+
+def test_accented_letters_in_a_row_before_plain_ones():
+    from millrace.functions.convert import decoded_line
+
+    assert decoded_line("Éèêpa.".encode("cp1252")) == "Éèêpa."
+    for text in ("微信支付优惠领取", "朱镕基 said", "优惠abc", "a 中文 b"):
+        assert decoded_line(text.encode("gb18030")) == text
