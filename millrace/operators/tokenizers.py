@@ -8,8 +8,10 @@ from collections.abc import Iterator
 from heapq import nsmallest
 from math import exp, log
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ MAX_PAIRS = 100_000
 PENDING = 24
 #: Parts that an expected count is summed in.
 UNIT = 1 << 20
+#: Words that are taken apart at once, and distinct words whose pieces a task remembers.
+WORDS, MEMO = 100_000, 100_000
 END = "</w>"
 SPACE = "▁"
 
@@ -371,22 +375,27 @@ def unigram_word(word: str, score: dict[str, float], unknown: str = "<unk>", lon
 def apply_words(words: Column, one) -> Column:
     """A word tokenizer over arrays of words, each distinct word of a batch once."""
 
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict[str, list[str]] = {}
+        known: dict[str, str] = {}  # a piece is held once, however many words have it
         for part in parts:
-            if len(memo) > 500_000:
-                memo.clear()
-            out = []
-            for ws in part:
-                pieces: list[str] = []
-                for w in ws if ws is not None else []:
-                    got = memo.get(w)
-                    if got is None:
-                        got = memo[w] = one(w)
-                    pieces += got
-                out.append(pieces)
-            yield pd.Series(out)
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // WORDS)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if len(memo) > MEMO:
+                    memo.clear()
+                    known.clear()
+                out = []
+                for ws in part.slice(a, b - a).to_pylist():
+                    pieces: list[str] = []
+                    for w in ws or []:
+                        got = memo.get(w)
+                        if got is None:
+                            got = memo[w] = [known.setdefault(x, x) for x in one(w)]
+                        pieces += got
+                    out.append(pieces)
+                yield pa.array(out, pa.list_(pa.string()))
 
     return run(words)
 
