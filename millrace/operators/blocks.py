@@ -14,7 +14,7 @@ of blocks is quadratic in the number of blocks; a block stands for up to BLOCK r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -163,20 +163,113 @@ def _rows(ids: bytes, xs: bytes) -> tuple[np.ndarray, np.ndarray]:
     return v, _array(xs).reshape(len(v), -1)
 
 
-def close_pairs(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, cosine) above a threshold, of the rows of pairs of blocks of unit vectors."""
+#: Rows that a group of blocks has at most, and groups that blocks are put in at least (as far as there are blocks).
+GROUP_ROWS, GROUPS = 65_536, 16
+#: Pairs that a task holds before it reduces them.
+HELD = 2_000_000
+
+
+def _tiled(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(p, q, kind, b, c, ids, xs): for each pair of groups of blocks its blocks (kind 0), each once, then its pairs of blocks (kind 1).
+
+    A block is sent to as many tasks as there are groups, not once for every other block: while groups are within
+    GROUP_ROWS, what is moved grows with the rows.
+    """
+    rows, n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    k = max(GROUPS, -(-rows // GROUP_ROWS))
+    group = lambda b: F.pmod(F.xxhash64(b), F.lit(k))
+    met = pairs.select(F.least(group("p"), group("q")).alias("gp"), F.greatest(group("p"), group("q")).alias("gq"), F.col("p").alias("b"), F.col("q").alias("c"))
+    asked = met.select("gp", "gq", F.explode(F.array("b", "c")).alias("b")).distinct()
+    own = asked.join(blocks.select("b", "ids", "xs"), "b").select("gp", "gq", F.lit(0).alias("kind"), "b", F.col("b").alias("c"), "ids", "xs")
+    none = F.lit(None).cast("binary")
+    tasks = max(1, min(1024, k * (k + 1), n * (n + 1) // 2))
+    return own.union(met.select("gp", "gq", F.lit(1), "b", "c", none, none)).repartition(tasks, "gp", "gq").sortWithinPartitions("gp", "gq", "kind")
+
+
+def _close(blocks: DataFrame, pairs: DataFrame, threshold: float, first: Callable[..., tuple] | None, again: Callable[..., tuple] | None, names: str) -> DataFrame:
+    """(i, j, cosine) above a threshold of the rows of pairs of blocks of unit vectors, i < j, reduced tile by tile.
+
+    first: arrays (i, j, cosine) of two blocks to the columns `names`; again: some of these to fewer, at the end of a tile
+    and whenever HELD rows are held. None: all pairs are passed on.
+    """
+    columns = [c.split()[0] for c in names.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, got, n = None, {}, [], 0
+
+        def packed() -> tuple:
+            return again(*(np.concatenate(x) for x in zip(*got, strict=True)))
+
         for part in parts:
-            for p, ip, xp, q, iq, xq in part.itertuples(index=False):
-                (va, a), (vb, b) = _rows(ip, xp), _rows(iq, xq)
+            for gp, gq, kind, p, q, ids, xs in part.itertuples(index=False):
+                if (gp, gq) != here:
+                    if got:
+                        yield pd.DataFrame(dict(zip(columns, packed(), strict=True)))
+                    here, held, got, n = (gp, gq), {}, [], 0
+                if kind == 0:
+                    held[p] = _rows(ids, xs)
+                    continue
+                (va, a), (vb, b) = held[p], held[q]
                 c = a @ b.T
                 i, j = np.nonzero(c > threshold)
                 keep = va[i] < vb[j] if p == q else va[i] != vb[j]
                 i, j = i[keep], j[keep]
-                yield pd.DataFrame({"i": np.minimum(va[i], vb[j]), "j": np.maximum(va[i], vb[j]), "cosine": c[i, j]})
+                found = np.minimum(va[i], vb[j]), np.maximum(va[i], vb[j]), c[i, j]
+                if first is None:
+                    yield pd.DataFrame(dict(zip(columns, found, strict=True)))
+                elif len(i):
+                    got.append(first(*found))
+                    n += len(got[-1][0])
+                    if n > HELD:
+                        got = [packed()]
+                        n = len(got[0][0]) // 2  # what is left is not reduced again at once
+        if got:
+            yield pd.DataFrame(dict(zip(columns, packed(), strict=True)))
+
+    return _tiled(blocks, pairs).mapInPandas(run, names)
+
+
+def close_pairs(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, cosine) above a threshold, of the rows of pairs of blocks of unit vectors."""
+    return _close(blocks, pairs, threshold, None, None, "i long, j long, cosine double")
+
+
+def near_pairs(blocks: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(i, j, cosine) of `close_pairs` in both directions: of each tile the k largest cosines of every i; ties: the smallest j."""
+
+    def best(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> tuple:
+        order = np.lexsort((j, -c, i))
+        i, j, c = i[order], j[order], c[order]
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        keep = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < k
+        return i[keep], j[keep], c[keep]
+
+    def first(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> tuple:
+        return best(np.r_[i, j], np.r_[j, i], np.r_[c, c])
+
+    return _close(blocks, pairs, threshold, first, best, "i long, j long, cosine double")
+
+
+def close_links(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(v, first, n): of each tile every row with a pair of `close_pairs`, the smallest id it is linked to there, and its pairs there."""
+
+    def linked(v: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple:
+        ids, at = np.unique(np.r_[v, u], return_inverse=True)
+        a, b = at[: len(v)], at[len(v) :]
+        label = np.arange(len(ids))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, a, label[b])
+            np.minimum.at(low, b, label[a])
+            low = low[low]
+            if (low == label).all():
+                return ids, ids[label], np.bincount(a, n, len(ids)).astype(np.int64)
+            label = low
+
+    def first(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> tuple:
+        return linked(np.r_[i, j], np.r_[j, i], np.ones(2 * len(i)))
 
-    return _met(pairs, blocks, blocks).mapInPandas(run, "i long, j long, cosine double")
+    return _close(blocks, pairs, threshold, first, linked, "v long, first long, n long")
 
 
 def _within(pairs: DataFrame, queries: DataFrame, rows: DataFrame, k: int, exact: bool) -> DataFrame:

@@ -214,7 +214,7 @@ _REACH = f"""WITH RECURSIVE {_COS}, e AS MATERIALIZED (SELECT i, j FROM ce UNION
 
 @query("graph_components", _REACH + " SELECT v, comp FROM comp")
 def graph_components(spark, sf_dir):
-    return D.components(D.vector_pairs(table(spark, sf_dir, "embeddings"), 0.35).select("i", "j"))
+    return D.vector_components(table(spark, sf_dir, "embeddings"), 0.35)
 
 
 @query(
@@ -224,5 +224,4 @@ def graph_components(spark, sf_dir):
        UNION ALL SELECT v FROM (SELECT v, row_number() OVER (PARTITION BY comp ORDER BY d DESC, v) AS rn FROM comp JOIN deg USING (v)) WHERE rn = 1""",
 )
 def graph_representatives(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    return D.representatives(vectors.select(F.col("vec_id").alias("v")), D.vector_pairs(vectors, 0.35).select("i", "j"))
+    return D.vector_representatives(table(spark, sf_dir, "embeddings"), 0.35)

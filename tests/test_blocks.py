@@ -78,3 +78,30 @@ def test_empty_and_odd_rows(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, None, 0), (3, [1.0, 0.0], 0)], SCHEMA)
     got = found(V.search_exact(V.cell_index(some.where("vec_id is not null and embedding is not null"), 4), some.where("vec_id = 1"), 5))
     assert got == {1: [(1, 0.0), (3, 0.0)]}
+
+
+@pytest.mark.parametrize("held", [50, 2_000_000])
+def test_blocks_are_sent_once_a_group_and_pairs_reduced_where_found(spark, monkeypatch, held):
+    monkeypatch.setattr(B, "HELD", held)
+    monkeypatch.setattr(B, "GROUPS", 3)
+    x = np.vstack([clustered(7, 300, wide=0.4), np.zeros((2, 16))])
+    df = frame(spark, x)
+    blocks = B.blocked(df, B.centres_of(df, 4, unit=True), unit=True, size=10)
+    met = B.block_pairs(blocks, blocks, float("inf"), same=True)
+    n = blocks.count()
+    assert n > 20 and B._tiled(blocks, met).where("kind = 0").count() <= 3 * n  # not once for each of n blocks
+    unit = x / np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, 1)
+    c = unit @ unit.T
+    np.fill_diagonal(c, -1)
+    near = c > 0.6
+    links = B.close_links(blocks, met, 0.6).collect()
+    assert {v: sum(r["n"] for r in links if r["v"] == v) for v in {r["v"] for r in links}} == {v: int(k) for v, k in enumerate(near.sum(1)) if k}
+    label = np.arange(len(x))
+    for _ in x:
+        label = np.minimum(label, np.where(near, label[None], len(x)).min(1))
+    got = {r["v"]: r["comp"] for r in D.components(spark.createDataFrame(links).selectExpr("first as i", "v as j")).collect()}
+    assert got == {v: int(label[v]) for v in range(len(x)) if near[v].any()}
+    best = {}
+    for r in sorted(B.near_pairs(blocks, met, 0.6, 4).collect(), key=lambda r: (-r["cosine"], r["j"])):
+        best.setdefault(r["i"], []).append(r["j"])
+    assert {i: js[:4] for i, js in best.items()} == {i: [int(j) for j in np.argsort(-c[i], kind="stable")[: min(4, near[i].sum())]] for i in range(len(x)) if near[i].any()}
