@@ -61,3 +61,15 @@ def test_greedy_rounds_end_in_one_task(spark, monkeypatch):
     got = sorted(r["v"] for r in D.greedy_survivors(ids, spark.createDataFrame(path, "i long, j long"), small=117).collect())
     assert got == list(range(0, 121, 2))
     assert rounds.count("greedy-kept") < 5
+
+
+def test_optimised_chunks_are_made_one_by_one(spark):
+    item = lambda c: F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
+    rows = [(k // 3, k % 3, f"pears  pears\tand　apples grow in garden {k} ", "pears") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, ord long, chunk string, a string")
+    twice = df.union(df.where("ord = 2"))  # a chunk that is given twice comes twice, not four times
+    got = C.optimised(twice, F.array(item("a")), F.array(item("a")), F.array(F.lit("given")))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    out = got.collect()
+    assert len(out) == 12 and {r["content"] for r in out} == {f"pears pears and apples grow in garden {k}" for k in range(9)}
+    assert all(r["keywords"][:7] == ["pears", "and", "apples", "garden", "grow", "in", "given"] for r in out)
