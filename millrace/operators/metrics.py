@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +18,44 @@ def ngrams(words: Column, n: int) -> Column:
     return F.flatten(F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.slice(ws, i, n))).otherwise(none)))
 
 
+#: Words whose n-grams of one order a task holds, on average.
+TASK_WORDS = 1_000_000
+
+
+def hashed_ngrams(words: Column, n: int) -> Column:
+    """All runs of n words, each as two 64-bit hashes (a, b)."""
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def one(ws: Column, i: Column) -> Column:
+        g = [F.get(ws, i + k) for k in range(n)]  # words one by one: a slice copies them
+        return F.struct(F.xxhash64(*g).alias("a"), F.xxhash64(F.lit(n), *g).alias("b"))
+
+    return F.flatten(F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: one(ws, i))).otherwise(none)))
+
+
 def diversity(texts: DataFrame, orders: range = range(1, 5), text: str = "text") -> DataFrame:
-    """(n, distinct, total, distinct_ratio, repetition) for each order. Counts of an n-gram are summed before they meet."""
+    """(n, distinct, total, distinct_ratio, repetition) for each order.
+
+    Totals follow from the texts' lengths; only distinct n-grams meet, by their hashes. N-grams of two words or more are
+    dealt to as many tasks as the table's words need (TASK_WORDS), so that a task does not hold more in a larger table;
+    single words, some of which are very frequent, are made distinct before they are dealt.
+    """
     ws = texts.select(X.words(F.col(text)).alias("ws"))
-    each = ws.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("ws"), n).alias("g")) for n in orders])).alias("x")).select("x.n", F.explode("x.g").alias("g"))
-    counts = each.groupBy("n", "g").agg(F.count("*").alias("c"))
-    got = counts.groupBy("n").agg(F.count("*").alias("distinct"), F.sum("c").alias("total"))
+    sums = ws.agg(*[F.sum(F.greatest(F.lit(0), F.size("ws") - (n - 1))).alias(str(n)) for n in orders])
+    totals = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("order"), F.col(str(n)).alias("total")) for n in orders])).alias("x")).select("x.*")
+    tasks = ceil((texts.agg(F.sum(F.length(text))).first()[0] or 0) / (6 * TASK_WORDS))  # a word and its space have about six characters
+
+    def found(some: list[int]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), hashed_ngrams(F.col("ws"), n).alias("g")) for n in some])).alias("x")
+        return ws.select(each).select("x.n", F.explode("x.g").alias("g")).select("n", "g.a", "g.b")
+
+    short, long = [n for n in orders if n == 1], [n for n in orders if n > 1]
+    parts = [found(short).distinct()] if short else []
+    if long:
+        every = found(long)
+        parts.append((every.repartition(tasks * len(long), "n", "a", "b") if tasks > 1 else every).distinct())
+    met = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    got = met.groupBy("n").agg(F.count("*").alias("distinct")).join(totals, F.col("n") == F.col("order"))
     ratio = F.col("distinct") / F.col("total")
     return got.select("n", "distinct", "total", ratio.alias("distinct_ratio"), (1 - ratio).alias("repetition"))
 

@@ -405,3 +405,16 @@ def test_an_update_that_fails_midway_is_completed(spark, tmp_path, monkeypatch):
     got = sorted((r["document_id"], r["content"]) for r in spark.read.parquet(path).collect())
     assert got == sorted((f"d{i}", "new" if i < 12 else "old") for i in range(30))
     assert V.delete(spark.read.parquet(path), path, [f"d{i}" for i in range(30)]) == 30
+
+
+def test_ngrams_are_dealt_by_the_words(spark, monkeypatch):
+    texts = [" ".join(f"w{(k * j) % 13}" for j in range(k % 9)) for k in range(60)] + ["  ", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    monkeypatch.setattr(M, "TASK_WORDS", 20)
+    d = M.diversity(df)
+    assert "REPARTITION_BY_NUM" in d._jdf.queryExecution().toString()
+    for r in d.collect():
+        every = [tuple(w[i : i + r["n"]]) for w in map(str.split, texts) for i in range(len(w) - r["n"] + 1)]
+        assert (r["distinct"], r["total"]) == (len(set(every)), len(every))
+    report = M.corpus_report(df, spark.createDataFrame([(1.0, 2)], "loss double, tokens int")).first()
+    assert [report[f"distinct_{r['n']}"] for r in d.orderBy("n").collect()] == [r["distinct_ratio"] for r in d.orderBy("n").collect()]
