@@ -418,3 +418,22 @@ def test_ngrams_are_dealt_by_the_words(spark, monkeypatch):
         assert (r["distinct"], r["total"]) == (len(set(every)), len(every))
     report = M.corpus_report(df, spark.createDataFrame([(1.0, 2)], "loss double, tokens int")).first()
     assert [report[f"distinct_{r['n']}"] for r in d.orderBy("n").collect()] == [r["distinct_ratio"] for r in d.orderBy("n").collect()]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_holds_few_rows_at_once(spark, monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (90, 3)).astype(float)  # many ties
+    e = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(V, "ROWS", 7)
+    monkeypatch.setattr(V, "BLOCK_VALUES", 50)
+    got = sorted((r["query"], r["rank"], r["vec_id"]) for r in V.nearest(e, [(k, x[k].tolist()) for k in range(0, 90, 10)], 5, metric).collect())
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    want = []
+    for k in range(0, 90, 10):
+        s = unit @ unit[k] if metric == "cosine" else -np.sqrt(((x - x[k]) ** 2).sum(1))
+        want += [(k, r + 1, int(v)) for r, v in enumerate(sorted(range(90), key=lambda v: (-round(s[v], 9), v))[:5])]
+    if metric == "l2":
+        assert got == want
+    else:  # a product may differ in its last bit
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(unit[g[2]] @ unit[g[0]] - unit[w[2]] @ unit[w[0]]) < 1e-9 for g, w in zip(got, want, strict=True))
