@@ -437,3 +437,18 @@ def test_nearest_holds_few_rows_at_once(spark, monkeypatch, metric):
         assert got == want
     else:  # a product may differ in its last bit
         assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(unit[g[2]] @ unit[g[0]] - unit[w[2]] @ unit[w[0]]) < 1e-9 for g, w in zip(got, want, strict=True))
+
+
+def test_keywords_of_a_text_need_no_shuffle(spark):
+    texts = ["Alpha beta gamma alphas beta gamma delta. Beta Gamma! " * 3, "", None, "one", "日本語 テキスト Épée straße straße Straße " * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = V.keywords(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    lists = lambda d, o: d.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), "term"))), lambda s: s["term"]).alias("terms"))
+    a = lists(V.top_terms(df, 16, shortest=5), F.col("rank")).select("doc_id", F.lit(0).alias("set"), "terms")
+    b = lists(V.text_rank(df, 16), -F.col("score")).select("doc_id", F.lit(1).alias("set"), "terms")
+    from millrace.operators.models import names
+
+    c = df.select("doc_id", F.lit(2).alias("set"), F.slice(F.transform(names(F.col("text")), F.lower), 1, 8).alias("terms"))
+    rows = lambda d: sorted((r["doc_id"], r["term"], r["score"]) for r in d.collect())
+    assert rows(got) == rows(V.fuse(a.union(b).union(c), 8)) != []
