@@ -28,8 +28,8 @@ template's, or if at least half of it is links. Names never tell of a paragraph,
 Fitting takes all pages of a host, whole. Pages of a host with the same skeleton of containers are one template with a
 wrapper of its own; skeletons of under TEMPLATE pages are fitted together, or with the host's largest. Wrappers of about CHUNK pages are merged, then
 wrappers of these, so a host with a third of all pages is no burden. What stands deeper than DEEP blocks counts as text
-of the block there. Lists of over WIDE groups lose those that under one in RARE pages have: a page whose content stood in
-one of these uses its own best element. Fitting and extraction take every whole page, one by one; neighbours are merged
+of the block there. In lists of over WIDE groups those that under one in RARE pages have are put together by their values;
+no group, text or count is dropped. Fitting and extraction take every whole page, one by one; neighbours are merged
 in pairs, so a page of n blocks takes n log n steps at most.
 
 Defined cases: null or empty html has an empty text; broken html (unclosed or stray tags, any depth) is read like a
@@ -46,6 +46,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -395,16 +396,16 @@ def fold(page: Group, varying: frozenset[str] = frozenset()) -> Group:
 _BOTH = {frozenset(k): v for k, v in ((("",), ""), (("?",), "?"), (("+",), "+"), (("*",), "*"), (("", "?"), "?"), (("", "+"), "+"), (("", "*"), "*"), (("?", "+"), "*"), (("?", "*"), "*"), (("+", "*"), "*"))}
 
 
-def merge(a: Group, b: Group, within: bool = False) -> Group:
-    """The wrapper of two groups of the same value: of two pages, or of two neighbours within one."""
+def merge(a: Group, b: Group, within: bool = False, count: Callable[[int, int], int] = add) -> Group:
+    """The wrapper of two groups of the same value: of two pages, or of two neighbours within one. count: of their pages."""
     kind = _BOTH[frozenset((a.kind, b.kind))]
     if within:
         digest, pages, kind = _digest([a.digest, b.digest]) if a.digest and b.digest else None, max(a.pages, b.pages), "*" if "?" in kind or "*" in kind else "+"
         if a.value == TEXT:
             kind = ""
     else:
-        digest, pages = a.digest if a.digest == b.digest else None, a.pages + b.pages
-    return Group(a.value, kind, digest, pages, a.chars + b.chars, a.links + b.links, _aligned(a.items, b.items, within))
+        digest, pages = a.digest if a.digest == b.digest else None, count(a.pages, b.pages)
+    return Group(a.value, kind, digest, pages, a.chars + b.chars, a.links + b.links, _aligned(a.items, b.items, within, count))
 
 
 def _places(items: list[Group]) -> dict[str, list[int]]:
@@ -420,7 +421,7 @@ def _next(places: dict[str, list[int]], value: str, after: int) -> int | None:
     return own[k] if k < len(own) else None
 
 
-def _aligned(a: list[Group], b: list[Group], within: bool) -> list[Group]:
+def _aligned(a: list[Group], b: list[Group], within: bool, count: Callable[[int, int], int] = add) -> list[Group]:
     """Two lists of groups as one: what is skipped on either side to meet the other again is optional."""
     if not a and not b:
         return []
@@ -429,7 +430,7 @@ def _aligned(a: list[Group], b: list[Group], within: bool) -> list[Group]:
     i = j = 0
     while i < len(a) and j < len(b):
         if a[i].value == b[j].value:
-            out.append(merge(a[i], b[j], within))
+            out.append(merge(a[i], b[j], within, count))
             i, j = i + 1, j + 1
             continue
         di, dj = _next(at_a, b[j].value, i), _next(at_b, a[i].value, j)
@@ -450,20 +451,53 @@ def _optional(x: Group) -> Group:
 
 
 def joined(wrappers: list[Group]) -> Group:
-    """The wrapper of some wrappers. Very long lists go without the groups that hardly any page has."""
+    """The wrapper of some wrappers. In very long lists the groups that hardly any page has are put together by value."""
     out = wrappers[0]
     for w in wrappers[1:]:
         out = merge(out, w)
 
     def common(x: Group) -> Group:
         if len(x.items) > WIDE:
-            x.items = [y for y in x.items if y.pages * RARE >= out.pages]
+            x.items = gathered(x.items, out.pages)
         x.items = [common(y) for y in x.items]
         return x
 
     return common(out)
 
 
+def gathered(items: list[Group], pages: int) -> list[Group]:
+    """A list of groups in which those that under one in RARE pages have are one group for each value: nothing is left out.
+
+    Their order is given up, which neither the ways to the content nor its parts depend on. The template's groups, whose
+    text is the same on TEMPLATE pages, stay what they are. The list is then as long as its values, not its pages, are many.
+    """
+    kept: list[Group] = []
+    rare: dict[tuple[str, str | None], list[Group]] = {}
+    for x in items:
+        if x.pages * RARE >= pages:
+            kept.append(x)
+            continue
+        key = x.value, x.digest if x.digest and x.pages >= TEMPLATE else None
+        if key not in rare:
+            rare[key] = own = []
+            kept.append(own)  # the place of the first
+        rare[key].append(x)
+    out: list[Group] = []
+    for x in kept:
+        run = [x] if isinstance(x, Group) else x
+        while len(run) > 1:  # in pairs: no growing group is merged again and again
+            run = [apart(*run[k : k + 2]) if k + 1 < len(run) else run[k] for k in range(0, len(run), 2)]
+        out.append(run[0])
+    return out
+
+
+def apart(a: Group, b: Group) -> Group:
+    """Two groups of the same value that may stand on the same pages or on others: they have as many as either, for certain."""
+    out = merge(a, b, count=max)
+    out.kind = "*" if a.digest != b.digest and a.value != TEXT else out.kind
+    return out
+
+
 def infer(pages: list[str]) -> Group:
     """The wrapper of some pages of one host."""
     streams = [stream(parse(page)) for page in pages]

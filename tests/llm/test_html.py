@@ -145,3 +145,23 @@ def test_the_wrapper_is_an_expression_of_every_page(seed):
     pages = [some(3) for _ in range(rng.randint(1, 6))]
     w = html_wrapper.infer(pages)
     assert all(_matches(w, html_wrapper.stream(html_wrapper.parse(p))) for p in pages)
+
+
+def test_long_lists_lose_no_group(monkeypatch):
+    monkeypatch.setattr(html_wrapper, "WIDE", 4)
+    pages = []
+    for k in range(100):
+        legal = "<section class=legal><p>All rights are ours.</p></section>" * (k in (10, 11, 12))
+        pages.append(f"<body><div class=main><h1>Title {k}</h1><p>What {k} says is said in words of its own.</p><div class='c{k // 3}'><p>And more by {k}.</p></div>{legal}</div></body>")
+    w = html_wrapper.unpacked(html_wrapper.packed(html_wrapper.infer(pages)))
+    walk, values = [w], set()
+    while walk:
+        x = walk.pop()
+        values.add(x.value)
+        assert not x.items or sum(y.chars for y in x.items) == x.chars  # nothing is left out
+        assert len(x.items) <= 40
+        walk += x.items
+    assert {f"div c{k}" for k in range(33)} <= values
+    ways, fixed = html_wrapper.content(w)
+    for k in (3, 10):
+        assert html_wrapper.extract(pages[k], ways, fixed) == f"Title {k}\n\nWhat {k} says is said in words of its own.\n\nAnd more by {k}."
