@@ -81,7 +81,7 @@ def convert_phrases(spark, sf_dir):
 def decode_mixed(spark, sf_dir):
     """Documents as bytes of one encoding or of two, read again."""
     latin = F.when(F.col("text").rlike(r"[^\x00-\x7F\x{A0}-\x{FF}]"), F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    chinese = F.concat(F.lit(bytearray("微信支付优惠领取".encode("gb18030"))), F.encode(F.concat(F.lit("\n"), F.col("text")), "UTF-8"))
+    chinese = F.concat(F.lit(bytearray("微信支付优惠领取".encode("gb18030"))), F.encode(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), "UTF-8"))
     kind = F.pmod("doc_id", F.lit(3))
     raw = F.when(kind == 0, chinese).when(kind == 1, latin).otherwise(F.encode("text", "UTF-8"))
     return _docs(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", C.decode_mixed(F.col("raw")).alias("text"))

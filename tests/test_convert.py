@@ -91,3 +91,12 @@ def test_accented_letters_in_a_row_before_plain_ones():
     assert decoded_line("Éèêpa.".encode("cp1252")) == "Éèêpa."
     for text in ("微信支付优惠领取", "朱镕基 said", "优惠abc", "a 中文 b"):
         assert decoded_line(text.encode("gb18030")) == text
+
+
+def test_lines_of_accented_letters_alone():
+    from millrace.functions.convert import decoded_line
+
+    for text in ("Éçêè", "ÉÉÈÇ!!", "LEÈÈÇÊ!!", "OUÉÇÉÇ!!", "Ñóíá", "ÄÖÜÖ", "éèêç"):
+        assert decoded_line(text.encode("cp1252")) == text
+    for text in ("中国", "测试", "优惠", "社会", "我们", "你好", "社 abc 会", "ABC微信"):
+        assert decoded_line(text.encode("gb18030")) == text
