@@ -165,7 +165,7 @@ def minhash_cosine_dedup(spark, sf_dir):
 
 @query("minhash_lsh_join")
 def minhash_lsh_join(spark, sf_dir):
-    return D.lsh_join(_docs(spark, sf_dir), 0.3)
+    return D.lsh_join(_docs(spark, sf_dir), 0.3, copies=True)
 
 
 _WEIGHTS = f"""ww AS MATERIALIZED (WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_words('lower(text)')}) AS w FROM documents) GROUP BY 1, 2)
