@@ -1,5 +1,7 @@
 """Golden values by hand for cases that tell right from plausible."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -342,6 +344,22 @@ def test_ingest(spark, tmp_path):
     assert V.delete(rows, path, [ids["a.txt"]]) > 0 and {r["document_id"] for r in spark.read.parquet(path).collect()} == {ids["b.md"]}
 
 
+def test_vector_rows_are_made_within_the_row(spark):
+    from millrace.operators import ingest as I
+
+    texts = ["b b a a c. The end of it is near, and so on.\n\nSecond part: b-b, x1 x1 É é.\n\nthird", "", "one line", None]
+    df = spark.createDataFrame([(f"d{k}", t, {"n": str(k)}) for k, t in enumerate(texts)], "document_id string, content string, metadata map<string,string>")
+    rows = I.vector_rows(df, keywords=3)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    nodes = C.flat_chunks(C.document_tree(df, "document_id", "content"))
+    terms: dict = {}
+    for r in V.top_terms(nodes.select("node", F.col("content").alias("text")), 3, "node").orderBy("rank").collect():
+        terms.setdefault(r["node"], []).append(r["term"])
+    want = {r["node"]: (r["document_id"], r["content"], terms.get(r["node"], [])) for r in nodes.collect()}
+    assert {r["chunk_id"]: (r["document_id"], r["document"], json.loads(r["keywords"])) for r in rows.collect()} == want
+    assert {(r["document_id"], r["metadata"]["n"]) for r in rows.collect()} == {("d0", "0"), ("d2", "2")}
+
+
 def test_greedy_groups_match_pairs(spark):
     rng = np.random.default_rng(5)
     members = sorted({(int(v), int(g)) for v, g in zip(rng.integers(1, 61, 150), rng.integers(0, 40, 150), strict=True)})
