@@ -61,8 +61,8 @@ def encode(tokens: DataFrame, vocab: DataFrame, key: str, unknown: int = 1) -> D
     return tokens.join(vocab, "token", "left").select(key, "ord", F.coalesce("id", F.lit(unknown)).alias("id"))
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) of all texts. The words of a batch of texts are counted together before anything is shuffled."""
+def word_counts(docs: DataFrame, text: str = "text", words: Column | None = None) -> DataFrame:
+    """(word, n) of all texts; words: an array of words, those of `words_v2` if not given. The words of a batch of texts are counted together before anything is shuffled."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -71,8 +71,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([met.field(0).cast(pa.string()), met.field(1).cast(pa.int64())], names=["word", "n"])
 
     # white space is no word: it need not be squeezed first
-    words = F.coalesce(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_V2), F.lit(1)), F.array().cast("array<string>"))
-    return docs.select(words.alias("ws")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_V2), F.lit(1)) if words is None else words
+    return docs.select(F.coalesce(words, F.array().cast("array<string>")).alias("ws")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def pair_stats(counts: DataFrame) -> DataFrame:
@@ -110,9 +110,128 @@ def train_bpe(counts: dict[str, int], merges: int) -> list[tuple[str, str]]:
     return out
 
 
+#: Symbols of different parts of words that one task learns on; more are learned on by rounds over all words.
+FLAT = 6_000_000
+#: Places of a table of pairs that a task counts in; with more symbols pairs are sorted.
+TABLE = 16_000_000
+_END_POINT = 0x110000  # no character
+
+
 def learn_bpe(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
     """As train_bpe, over a distributed table (word, n) of any size.
 
+    A merged pair is no more frequent than the two characters that meet in it. So words are cut where these are rarer than
+    all merges turn out to be, and equal parts are put together: few are left, on which one task learns. Where it reaches
+    a pair as rare as those that were cut, rarer ones are kept; where too many parts are left, rounds take over.
+    """
+    words = stored(counts.select("word", F.col("n").cast("long").alias("n")), "bpe-counts")
+    got = _learn_on_parts(words, merges)
+    got = _learn_by_rounds(words, merges) if got is None else got
+    discard(words)
+    return got
+
+
+def _laid_out(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of a batch of words (word, n) with an end after each, the pairs of every place and the next, and the words' counts there."""
+    words = part.column(0).to_pylist()
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    out = np.full(int(sizes.sum()), _END_POINT, np.int64)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    out[inner] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    pairs = np.where(inner, out << 21 | np.r_[out[1:], 0], -1)
+    return out, pairs, np.repeat(part.column(1).to_numpy(), sizes)
+
+
+def _learn_on_parts(words: DataFrame, merges: int) -> list[tuple[str, str]] | None:
+    """learn_bpe of a stored table, or None if too many parts of words are left."""
+
+    def meeting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            _, pairs, n = _laid_out(part)
+            p, at = np.unique(pairs[pairs >= 0], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.bincount(at, n[pairs >= 0], len(p)).astype(np.int64))], names=["p", "n"])
+
+    met = stored(words.mapInArrow(meeting, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")), "bpe-meeting")
+    most = max(64, 2 * merges)
+    while True:
+        rows = met.orderBy(F.desc("n"), "p").limit(most + 1).collect()
+        least = rows[most]["n"] + 1 if len(rows) > most else 1
+        keep = np.array(sorted(r["p"] for r in rows if r["n"] >= least), np.int64)
+
+        def cut(parts: Iterator[pa.RecordBatch], keep=keep) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                out, pairs, n = _laid_out(part)
+                starts = np.flatnonzero(~np.r_[False, np.isin(pairs, keep)[:-1]])
+                ends = np.r_[starts[1:], len(out)]
+                text, sums = out.astype("<u4").tobytes(), Counter()
+                for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                    sums[text[4 * a : 4 * b]] += int(n[a])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["s", "n"])
+
+        def learn(parts: Iterator[pa.RecordBatch], least=least) -> Iterator[pa.RecordBatch]:
+            got = _merges_of_parts([(s, n) for part in parts for s, n in zip(*(c.to_pylist() for c in part.columns), strict=True)], merges, least)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int64()), *(pa.array(list(c), pa.string()) for c in (zip(*got, strict=True) if got else ([], [])))], names=["k", "left", "right"])
+
+        cuts = stored(words.mapInArrow(cut, "s binary, n long").groupBy("s").agg(F.sum("n").alias("n")), "bpe-parts")
+        fits = (cuts.agg(F.sum(F.length("s") / 4 + 1)).first()[0] or 0) <= FLAT
+        got = [(r["left"], r["right"]) for r in cuts.coalesce(1).mapInArrow(learn, "k long, left string, right string").orderBy("k").collect()] if fits else []
+        discard(cuts)
+        if not fits or any(x + y == END for x, y in got):  # what spells the end mark would meet with other characters than its own
+            discard(met)
+            return None
+        if len(got) == merges or least == 1:
+            discard(met)
+            return got
+        most *= 4
+
+
+def _merges_of_parts(parts: list[tuple[bytes, int]], merges: int, least: int) -> list[tuple[str, str]]:
+    """train_bpe of parts of words as (characters of four bytes, n), as long as the best pair has a count of `least` or more."""
+    if not parts:
+        return []
+    sizes = np.array([len(s) // 4 for s, _ in parts])
+    points = np.frombuffer(b"".join(s for s, _ in parts), "<u4")
+    known, own = np.unique(points, return_inverse=True)
+    names = [END if p == _END_POINT else chr(p) for p in known.tolist()]
+    ids = {x: k for k, x in enumerate(names)}
+    s = np.full(len(points) + len(parts), -1, np.int64)  # -1 stands after every part
+    s[np.arange(len(points)) + np.repeat(np.arange(len(parts)), sizes)] = own
+    w = np.repeat(np.array([n for _, n in parts], np.float64), sizes + 1)
+    width = len(names) + merges
+    out: list[tuple[str, str]] = []
+    while len(out) < merges and len(s) > 1:
+        codes = np.where((s[:-1] >= 0) & (s[1:] >= 0), s[:-1] * width + s[1:], width * width)
+        if width * width < TABLE:
+            table = np.bincount(codes, w[:-1], width * width + 1)[:-1]
+            best = table.max()
+            tied = np.flatnonzero(table == best)
+        else:
+            found, at = np.unique(np.r_[codes, width * width], return_inverse=True)
+            table = np.bincount(at, np.r_[w[:-1], 0])[:-1]
+            best = table.max(initial=0)
+            tied = found[:-1][table == best]
+        if best < max(least, 1):
+            break
+        x, y = min((names[k // width], names[k % width]) for k in tied.tolist())
+        out.append((x, y))
+        new = ids.setdefault(x + y, len(names))
+        if new == len(names):
+            names.append(x + y)
+        hit = np.flatnonzero((s[:-1] == ids[x]) & (s[1:] == ids[y]))
+        if x == y:  # of a run every second one, from the left
+            first = np.r_[True, np.diff(hit) != 1]
+            hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
+        s[hit] = new
+        left = np.ones(len(s), bool)
+        left[hit + 1] = False
+        s, w = s[left], w[left]
+    return out
+
+
+def _learn_by_rounds(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """learn_bpe by rounds over a table of all words.
+
     A word is a string of its symbols, each between a space and a line end, which no word has. The driver holds the
     counts of the most frequent pairs. A round merges the best pairs as long as the next one shares no symbol with those
     before it and is ahead of all that do (what they become is no more frequent), and collects the change of the counts

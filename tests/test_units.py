@@ -234,6 +234,21 @@ def test_bpe_on_words_with_ties(spark):
         assert T.learn_bpe(table, 30) == T.train_bpe(counts, 30)
 
 
+def test_bpe_on_parts_of_words(spark, sf, monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = {"".join(rng.choice(list("aaabcdefgh'é"), rng.integers(1, 12))): int(rng.integers(1, 40)) for _ in range(600)}
+    counts |= {"".join(map(chr, rng.integers(0x400, 0x600, 9).tolist())): 1 for _ in range(200)}  # cut to nothing
+    table, want = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3), T.train_bpe(counts, 60)
+    rounds = T._learn_by_rounds
+    monkeypatch.setattr(T, "_learn_by_rounds", None)  # nothing goes over all words merge by merge
+    assert T.learn_bpe(table, 60) == want and T.learn_bpe(table.where("n < 0"), 60) == []
+    monkeypatch.setattr(T, "TABLE", 0)
+    assert T.learn_bpe(table, 60) == want
+    monkeypatch.setattr(T, "FLAT", 10)  # too many parts
+    monkeypatch.setattr(T, "_learn_by_rounds", rounds)
+    assert T.learn_bpe(table, 60) == want
+
+
 def test_unigram_query_learns_on_all_words(spark, sf):
     from millrace.plans import catalog
 
